@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,8 @@ def shard_matches(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np
     return pos, q[which], common(text, pos, items, q[which], items.left[q[which]])
 
 
-def _scan(blocks: list, window: int):
+def _scan(blocks: list, window: int, keep_clean: str | None = None):
+    """Rows of findings; with ``keep_clean`` (the text column) instead the input's rows that nothing hits, whole."""
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("longest_match", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())])
 
     def shard(ids: list[pa.Array], words: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
@@ -162,20 +164,27 @@ def _scan(blocks: list, window: int):
             [pa.concat_arrays(ids), pa.array(size), pa.array(hit[starts + size] - hit[starts]), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, schema.field("items").type), pa.array(best), pa.array(best_item, pa.string()), pa.array(best_at, mask=best == 0)], schema=schema
         )
 
+    def clean(parts: list[pa.RecordBatch], words: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hit = shard([pa.nulls(sum(map(len, sizes)), pa.int64())], words, sizes).column(2)
+        at = 0
+        for part in parts:
+            yield part.filter(pc.equal(hit.slice(at, part.num_rows), 0))
+            at += part.num_rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, sizes, held = [], [], [], 0
         for batch in batches:
-            for i, j, buf, offs in K.chunks(batch.column(1)):
+            for i, j, buf, offs in K.chunks(batch.column(1) if keep_clean is None else batch.column(batch.schema.get_field_index(keep_clean))):
                 w, rows = K.word_hashes(buf, offs, K.ALNUM_BYTES)
-                ids.append(batch.column(0).slice(i, j - i))
+                ids.append((batch.column(0) if keep_clean is None else batch).slice(i, j - i))
                 words.append(np.maximum(w, np.uint64(1)))
                 sizes.append(np.diff(rows))
                 held += len(w) + j - i
                 if held >= SHARD_WORDS:
-                    yield shard(ids, words, sizes)
+                    yield from [shard(ids, words, sizes)] if keep_clean is None else clean(ids, words, sizes)
                     ids, words, sizes, held = [], [], [], 0
         if ids:
-            yield shard(ids, words, sizes)
+            yield from [shard(ids, words, sizes)] if keep_clean is None else clean(ids, words, sizes)
 
     return run
 
@@ -207,6 +216,11 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_co
     return found.select(F.col("id").alias(id_col), *found.columns[1:], (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def decontaminated(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no window of an item hits, with all their columns."""
+    return docs.mapInArrow(_scan(_item_blocks(tests, item_id, item_text, window), window, text_col), docs.schema)
+
+
 def op8_suffix_decontamination(spark, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark, with a digest of the items."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

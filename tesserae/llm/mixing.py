@@ -85,6 +85,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """``docs`` once per copy taken, with ``copy`` from 1 up. Rows of equal id (without an id: of equal text) get equal copies."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    plain = docs.drop("copy", "_key").withColumn("_key", key)
+    sized = materialize(sizes(plain.withColumn("doc_id", F.col("_key"))))
+    taken = systematic_copies(sized, weights, most, seed).filter("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.min("copies").alias("_copies"))
+    return plain.join(taken, "_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_key", "_copies")
+
+
 def op3_systematic_mix(spark, sf_dir: str) -> DataFrame:
     """Copies of every document in the mix of all sources."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm.store import materialize, table
 
@@ -249,7 +250,7 @@ def moved_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") ->
     return out.select("kind", "value", "attempt")
 
 
-def _rewritten(key: bytes, moved, column: str):
+def _rewritten(key: bytes, moved, column: str, count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
@@ -259,23 +260,25 @@ def _rewritten(key: bytes, moved, column: str):
             columns = [c for i, c in enumerate(batch.columns) if i != tries]
             names = [n for n in batch.schema.names if n != "_moved"]
             columns[names.index(column)] = pa.array([t for t, _ in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in done], pa.int64())], names=[*names, "n_entities"])
+            if count:
+                columns, names = [*columns, pa.array([n for _, n in done], pa.int64())], [*names, "n_entities"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col``, and n_entities (a column of that name is replaced). Null and empty texts stay."""
-    plain = docs.drop("n_entities", "_moved")
-    schema = plain.schema.add("n_entities", "long")
+def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count: bool = True) -> DataFrame:
+    """``docs`` with surrogates in ``text_col``, and with ``count`` n_entities (a column of that name is replaced). Null and empty texts stay."""
+    plain = docs.drop("n_entities", "_moved") if count else docs
+    schema = T.StructType([*plain.schema.fields, *([T.StructField("n_entities", T.LongType())] if count else [])])
     moved = materialize(moved_entities(plain, key, text_col))
     if moved.count() <= MOST_MOVED:
         few = {(r["kind"], r["value"]): r["attempt"] for r in moved.toLocalIterator()}
-        return plain.mapInArrow(_rewritten(key, docs.sparkSession.sparkContext.broadcast(few), text_col), schema)
+        return plain.mapInArrow(_rewritten(key, docs.sparkSession.sparkContext.broadcast(few), text_col, count), schema)
     mentions = plain.select(F.xxhash64(text_col).alias("_text"), text_col).dropDuplicates(["_text"]).mapInArrow(_mentions(text_col), "_text long, kind string, value string")
     held = mentions.join(moved, ["kind", "value"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_moved"))
     joined = plain.withColumn("_text", F.xxhash64(text_col)).join(held, "_text", "left").drop("_text")
-    return joined.mapInArrow(_rewritten(key, None, text_col), schema)
+    return joined.mapInArrow(_rewritten(key, None, text_col, count), schema)
 
 
 def _mentions(column: str):

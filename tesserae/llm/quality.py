@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm import kernels as K
 from tesserae.llm.store import table
@@ -160,10 +161,22 @@ def grade_documents(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL)
     Columns of ``docs`` with these names are replaced.
     """
     plain = docs.drop("expected_grade", "p_good", "selected")
-    schema = plain.schema.add("expected_grade", "double").add("p_good", "double").add("selected", "boolean")
+    schema = T.StructType([*plain.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType()), T.StructField("selected", T.BooleanType())])
     return plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep_tail), schema)
 
 
+def selected(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """The selected rows of ``docs``, with all their columns and no others."""
+    state = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tails = state.value.tails(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(tails[:, KEEP_GRADE - 1] >= keep_tail))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """Grades of the labels table: 0 toxic, 1 of poor quality, 2 good."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
