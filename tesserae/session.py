@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_fallback: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not _fallback:
+        _fallback.append("file://" + tempfile.mkdtemp(prefix="tesserae-"))
+    return _fallback[0]
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine with adaptive execution, Arrow and UTC."""
     conf = {
