@@ -64,6 +64,7 @@ def permute(value: int, size: int, key: bytes, tag: str, step: int = 1) -> int:
     """A keyed bijection of [0, size) that moves every value: conjugates adding ``step`` by an alternating Feistel network."""
     if size < 2:
         return value
+    step = 1 + (step - 1) % (size - 1)
     left = 1 << (size.bit_length() // 2)
     right = -(-size // left)  # values live in [0, left * right), and walk until they are below size
 
@@ -123,7 +124,7 @@ def _name(text: str, key: bytes, step: int) -> str:
 
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     """The replacement of an entity; ``attempt`` counts the replacements that a check turned down."""
-    step = attempt + 1
+    step = 1 + _digest(key, "attempt", attempt) % (1 << 61) if attempt else 1
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
