@@ -36,8 +36,12 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 SOFT = {"nav", "header", "form"}  # an article that starts inside is a page whose end tag is missing
 OUT = SOFT | {"footer", "aside", "head", "menu", "dialog", "button", "select", "option", "optgroup", "datalist", "fieldset", "label", "legend", "svg", "math", "canvas", "object", "audio", "video", "map", "progress", "meter"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist", "status"}
+#: First words of class names that tell of what a page has, not of what an element is.
+STATES = {"has", "with", "without", "no", "is", "show", "hide", "enable", "enabled", "disable", "disabled"}
+#: Marks of elements that hold other articles or remarks, not the page's own.
+HARD = {"comment", "commentlist", "comments", "disqus", "footer", "rail", "recommended", "related", "replies", "reply", "respond", "sidebar", "sidebars"}
 #: Words of class and id names that mark boilerplate.
-MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "widget", "widgets"}
+MARKS = {"ad", "ads", "adsbygoogle", "alert", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion", "rail", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sidebars", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc", "toolbar", "topbar", "widget", "widgets"}
 PAIRS = {("side", "bar"), ("bread", "crumb"), ("sign", "up"), ("log", "in"), ("ad", "slot"), ("foot", "er"), ("nav", "bar"), ("pop", "up")}
 MAIN = {"article", "main"}
 MAIN_MARKS = {"article", "content", "entry", "main", "post", "story"}
@@ -48,14 +52,24 @@ CLOSES = {t: {"p"} for t in _BLOCKS} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p
 BOUNDS = {"table", "ul", "ol", "dl", "div", "section", "article", "aside", "main", "nav", "header", "footer", "form", "blockquote", "body", "html", "select", "button"}
 
 
-def _marked(attrs: dict[str, str]) -> tuple[bool, bool]:
-    """(boilerplate, main) by role, hidden state, class and id."""
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    """Words of each class name and of the id, without names that only tell a state."""
+    names = [[w.lower() for w in _WORD.findall(n)] for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    return [n for n in names if n and n[0] not in STATES]
+
+
+def _marked(attrs: dict[str, str]) -> tuple[int, bool]:
+    """(boilerplate: 0 no, 1 soft, 2 hard; main) by role, hidden state, class and id."""
     role = attrs.get("role", "").lower()
     style = attrs.get("style", "").replace(" ", "").lower()
-    words = [w.lower() for w in _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))]
-    out = role in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    out = out or not MARKS.isdisjoint(words) or any(pair in PAIRS for pair in zip(words, words[1:], strict=False))
-    return out, role == "main" or attrs.get("itemprop", "").lower() == "articlebody" or not MAIN_MARKS.isdisjoint(words)
+    names = _names(attrs)
+    words = {w for n in names for w in n}
+    out = 1 if role in ROLES else 0
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style or not words.isdisjoint(HARD) or any(("side", "bar") in zip(n, n[1:], strict=False) for n in names):
+        out = 2
+    elif not words.isdisjoint(MARKS) or any(p in PAIRS for n in names for p in zip(n, n[1:], strict=False)):
+        out = 1
+    return out, role == "main" or attrs.get("itemprop", "").lower() == "articlebody" or not words.isdisjoint(MAIN_MARKS)
 
 
 class _Page:
@@ -104,18 +118,18 @@ class _Page:
                     break
         _, out, link, path, chain = self.stack[-1]
         attrs = {a.lower(): b or c or d for a, b, c, d in _ATTRS.findall(rest)} if rest.strip("/ \t\r\n") else {}
-        marked, main = _marked(attrs) if attrs else (False, False)
+        marked, main = _marked(attrs) if attrs else (0, False)
         if tag in MAIN:
             main = True
             out = 0 if out == 1 and not marked else out
         if tag in ("html", "body"):
-            marked = False
+            marked = 0
         if out == 0:
             if tag in OUT and (tag != "form" or self.drop_forms):
                 inside = tag == "header" and any(x[0] == "article" for x in self.stack)
                 out = 3 if inside else 1 if tag in SOFT else 2
-            elif marked and not (tag == "article" and not _hard(attrs)):
-                out = 2 if _hard(attrs) else 1
+            elif marked == 2 or marked and tag != "article":
+                out = marked
         elif out == 3 and tag in HEADINGS:
             out = 0
         if main and out == 0:
@@ -158,11 +172,6 @@ class _Page:
         self._flush()
 
 
-def _hard(attrs: dict[str, str]) -> bool:
-    words = {w.lower() for w in _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    return not words.isdisjoint(MARKS - {"header", "form", "nav", "menu", "banner", "search"})
-
-
 def _select(page: _Page) -> str:
     blocks = page.blocks
     if not blocks:

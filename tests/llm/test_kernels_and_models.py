@@ -69,6 +69,8 @@ PAGES = {
     "<body><nav><a href=x>Menu</a></nav><article><p><b>Open <i>tags<br><p>Next, one.</p></article>": "Open tags\nNext, one.",
     "<div class='sidebar'>Side, text. Here.</div><div id=content><p>Main text, long enough to count. Yes.</p><p>Short</p></div><div class='comments'><p>A reader's remark, long too. Yes it is.</p></div>": "Main text, long enough to count. Yes.\nShort",
     "<article><p>Text, with words.</p><form><p>Sign up, please.</p></form><aside>More</aside><script>var t='<p>no</p>';</script><div class='cookie-notice'>We use cookies.</div><p>End.</p></article>": "Text, with words.\nEnd.",
+    "<div class='ad'>Buy, now.<article class='post has-comments'><header><h1>T</h1><p>By me.</p></header><p>The text, all of it. Yes.</p><div class='article-sidebar'>Side.</div></article>": "T\nThe text, all of it. Yes.",
+    "<body class='has-sidebar'><div class='with-comments'><p>The text, all of it. Yes.</p><div class='related'><article><p>Another text, with words in it. Long.</p></article></div></div>": "The text, all of it. Yes.",
     "<p>a&#233;&nbsp;b<!-- <p>c</p> --> d": "aé b d",
 }
 
