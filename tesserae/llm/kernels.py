@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 17
+CHUNK_BYTES, SEGMENT_BYTES = 1 << 17, 1 << 21
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -100,6 +100,16 @@ def span_hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray = TOKEN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all rows, and the offsets of each row's words among them."""
+    if len(offs) == 2 and len(buf) > SEGMENT_BYTES:  # a long text goes through in segments that end between words
+        parts, at = [], 0
+        while at < len(buf):
+            end = min(at + SEGMENT_BYTES, len(buf))
+            while end < len(buf) and inside[LOWER[buf[end]]]:
+                end += 1
+            parts.append(word_hashes(buf[at:end], np.array([0, 0, end - at]), inside)[0])
+            at = end
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
     low = LOWER[buf]
     s, e, rows = word_spans(low, offs, inside)
     return span_hashes(low, s, e), rows

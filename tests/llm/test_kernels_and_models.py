@@ -29,6 +29,16 @@ def test_word_hashes_follow_words(texts):
     assert len(set(words.values())) == len(words)
 
 
+def test_long_texts_go_in_segments(monkeypatch):
+    text = np.frombuffer(("Ab cde \t éé" * 50 + "x" * 40 + " y").encode(), np.uint8)
+    offs = np.array([0, len(text)])
+    whole = K.word_hashes(text, offs)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(K, "SEGMENT_BYTES", size)
+        cut = K.word_hashes(text, offs)
+        assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(TEXTS, st.integers(1, 5))
 def test_shingle_sets(texts, k):
