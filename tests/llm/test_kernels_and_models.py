@@ -176,6 +176,6 @@ def test_words_become_ids_and_back():
     words = lm.subwords(lm.VOCABULARY)
     text = "The Être  x\n\ny 12"
     buf = np.frombuffer(text.encode(), np.uint8)
-    ids, bounds = words.texts(buf, np.array([0, len(buf)]))
+    ids, bounds, *_ = words.texts(buf, np.array([0, len(buf)]))
     assert ids[-1] == words.size - 1 and bounds.tolist() == [0, len(ids)]
     assert words.encoding.decode(ids[:-1].tolist()) == " the Être x y 12"
