@@ -5,9 +5,11 @@ Every pair of a collection of the first group with one of the second keys a tabl
 cost 2*SIDE*ROWS minhash functions only. Two sets of similarity s meet in some table unless one group agrees nowhere:
 at s = 0.8 that is below 2 * (1 - 0.8^3)^12 = 0.0004. Candidates are confirmed on the full shingle sets.
 
-Copies are handled as classes of equal sets, named by their smallest document. Within a table's bucket, members are
-not paired with each other: they meet leaders (first the smallest, then a few picked by salted hashes), and only
-members that are still apart from the bucket's main component are compared with the bucket, in blocks.
+Copies are handled as classes of equal sets, named by their smallest document. Members of a bucket are not paired with
+each other. Each meets the smallest leader of its buckets, and those whose sketches agree with it form a family;
+buckets that still hold several families try their own leader, and what is still apart then is compared in blocks that
+report families only. Within a family, links to leaders are confirmed first; members that remain apart from its main component then try the members they agree with most, in a
+few rounds whose last has no limit.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ from tesserae.llm.components import components
 from tesserae.llm.store import materialize, table
 
 SIDE, ROWS = 12, 3
-#: Share of agreeing minhashes below which a candidate isn't confirmed on full sets; 4.6 standard deviations under 0.8.
-AGREE = 0.58
-#: Leaders per bucket in each round after the first, rows per block when the rest of a bucket is compared.
-LEADERS, BLOCK = 4, 256
-_HASHES = 2 * SIDE * ROWS
+_BANDED = 2 * SIDE * ROWS
+#: Minhashes in a sketch (the banded ones and further ones), a byte each.
+_HASHES = 192
+#: Share of agreeing minhashes from which a candidate is confirmed on full sets: 4 standard deviations under 0.8.
+AGREE = 0.68
+#: Share from which two sets are of one family: links of one set are within distance 0.4 of each other.
+FAMILY = 0.56
+#: Members per block; ranks of partners, by agreement, that a member apart tries in each round.
+BLOCK, RANKS = 512, ((0, 4), (4, 48), (48, 1 << 30))
 _MULTIPLY = np.array([K.mix_int(2 * t + 1) | 1 for t in range(_HASHES)], np.uint64).astype(np.uint32)
 _ADD = np.array([K.mix_int(2 * t + 2) for t in range(_HASHES)], np.uint64).astype(np.uint32)
 
@@ -52,7 +58,7 @@ def _signatures(k: int):
                     x = (h >> np.uint64(32)).astype(np.uint32)
                     for t in range(_HASHES):
                         mins[some, t] = np.minimum.reduceat(x * _MULTIPLY[t] + _ADD[t], first)
-                wide = mins.reshape(j - i, 2 * SIDE, ROWS).astype(np.uint64)
+                wide = mins[:, :_BANDED].reshape(j - i, 2 * SIDE, ROWS).astype(np.uint64)
                 bands = np.zeros((j - i, 2 * SIDE), np.uint64)
                 for r in range(ROWS):
                     bands = K.mix(bands * np.uint64(3) + wide[:, :, r] + np.uint64(1))
@@ -84,25 +90,72 @@ def _similar(num: int, den: int, k: int):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _HASHES)
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, share of agreeing minhashes) of pairs that reach FAMILY."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _HASHES) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array((x == y).mean(1) >= AGREE))
+            share = (_sketches(batch.column(2)) == _sketches(batch.column(3))).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], schema=schema).filter(pa.array(share >= FAMILY))
+
 
+def _members(part: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.array([v[c] for v in part], np.int64) for c in ("id", "c", "n")) + (np.frombuffer(b"".join(v["sketch"] for v in part), np.uint8).reshape(-1, _HASHES),)
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Agreeing pairs of different components between a block of stragglers and a block of their bucket."""
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For two blocks of a bucket: (a, b) that span the components of members whose sketches agree."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         for row in batch.to_pylist():
-            s, m = row["stragglers"], row["members"]
-            x, y = (np.frombuffer(b"".join(v["sketch"] for v in part), np.uint8).reshape(-1, _HASHES) for part in (s, m))
-            ids, comps = np.array([v["id"] for v in m]), np.array([v["c"] for v in m])
-            for v, own in zip(s, x, strict=True):
-                hit = ids[((y == own).mean(1) >= AGREE) & (comps != v["c"])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, v["id"]), pa.int64()), pa.array(np.maximum(hit, v["id"]), pa.int64())], schema=schema)
+            (xi, xc, _, x), (yi, yc, _, y) = _members(row["xs"]), _members(row["ys"])
+            ids, at = np.unique(np.concatenate([xi, yi]), return_inverse=True)
+            p, q = [], []
+            for r in range(len(xi)):
+                hit = np.flatnonzero((yc != xc[r]) & ((y == x[r]).mean(1) >= FAMILY))
+                p.append(np.full(len(hit), at[r]))
+                q.append(at[len(xi) + hit])
+            p, q = np.concatenate(p), np.concatenate(q)
+            label = np.arange(len(ids))
+            while True:
+                low = np.minimum(label[p], label[q])
+                if (label[p] == low).all() and (label[q] == low).all():
+                    break
+                np.minimum.at(label, p, low)
+                np.minimum.at(label, q, low)
+            moved = np.flatnonzero(label < np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], schema=schema)
+
+
+def _ranked(num: int, den: int, first: int, last: int):
+    """For a block of members apart and a block of their family: (a, b) of each one's partners at agreement ranks [first, last)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (xi, xc, xn, x), (yi, yc, yn, y) = _members(row["xs"]), _members(row["ys"])
+                for r in range(len(xi)):
+                    share = (y == x[r]).mean(1)
+                    fits = (share >= AGREE) & (np.minimum(yn, xn[r]) * den >= np.maximum(yn, xn[r]) * num) & (yi != xi[r])
+                    at = np.flatnonzero(fits)
+                    at = at[np.lexsort((yi[at], -share[at]))][first:last]
+                    at = yi[at[yc[at] != xc[r]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, xi[r])), pa.array(np.maximum(at, xi[r]))], schema=schema)
+
+    return run
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
+    """Pairs (xs, ys) of blocks of about BLOCK members (id, c, n, sketch) that share ``key``."""
+    item = F.struct("id", "c", "n", "sketch")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK))
+    xs, ys = (part.groupBy(key, block.alias(f"block_{name}")).agg(F.collect_list(item).alias(name)) for part, name in ((left, "xs"), (right, "ys")))
+    return xs.join(ys, key)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,62 +168,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sig = materialize(plain.mapInArrow(_signatures(k), "id long, n long, k1 long, k2 long, bands array<long>, sketch binary"))
     some = sig.filter("n > 0 and id is not null")
     classes = materialize(some.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
 
     a, b = F.slice("bands", 1, SIDE), F.slice("bands", SIDE + 1, SIDE)
     keys = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i * SIDE + j))))
     cells = classes.select("rep", F.explode(keys).alias("cell"))
     leads = cells.groupBy("cell").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     buckets = materialize(cells.join(leads, "cell"))
-    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of distinct (a, b), those that agree in sketches: (a, b)."""
-        x, y = (sketches.select(F.col("id").alias(v), F.col("n").alias("n" + v), F.col("sketch").alias("s" + v)) for v in "ab")
-        both = pairs.join(x, "a").join(y, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        return both.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long").distinct()
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = materialize(plain.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
-        x, y = (texts.select(F.col("id").alias(v), F.col("text").alias("t" + v)) for v in "ab")
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(num, den, k), "a long, b long"))
-
-    def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows (cell, rep, size, c) of buckets that hold more than one component."""
-        named = rows.select("cell", "rep", "size").join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        split = named.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("cell")
-        return materialize(named.join(split, "cell", "left_semi"))
-
-    edges = links(confirmed(buckets.filter("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
+    x, y = (sketches.select(F.col("id").alias(v), F.col("n").alias("n" + v), F.col("sketch").alias("s" + v)) for v in "ab")
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        shares = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_agreement, "a long, b long, share double")
+        return materialize(shares.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b"))
+
+    def off(rows: DataFrame, family: DataFrame) -> DataFrame:
+        """Rows (cell, lead, id, size) whose member is of another family than the bucket's leader."""
+        own, lead = (family.select(F.col("v").alias(v), F.col("c").alias("c_" + v)) for v in ("id", "lead"))
+        named = rows.join(own, "id", "left").join(lead, "lead", "left")
+        return materialize(named.filter(F.coalesce("c_id", "id") != F.coalesce("c_lead", "lead")).select("cell", "lead", "id", "size"))
+
+    buckets = buckets.withColumnRenamed("rep", "id")
+    followers = buckets.filter("id > lead")
+    stars = agreeing(followers.groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")))
+    other = off(followers, components(stars))
+    stars = stars.unionByName(agreeing(other.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
+    family = components(stars)
+    cells = off(other.filter("size > 2"), family).select("cell").distinct()
+    rest = buckets.join(cells, "cell", "left_semi").join(family.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")).join(sketches, "id")
+    wider = materialize(_block_pairs(rest, rest, "cell", "size").filter("block_xs <= block_ys").select("xs", "ys").mapInArrow(_families, "a long, b long").distinct())
+    if not wider.isEmpty():
+        family = components(stars.select("a", "b").unionByName(wider))
+    family = family.toDF("id", "f")
+    family = family.unionByName(family.select(F.col("f").alias("id"), "f").distinct())
+    # ids of families grow with the corpus, so they meet the texts in a sort-merge join at every size
+    texts = materialize(plain.join(family.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]))
+    tx, ty = (texts.select(F.col("id").alias(v), F.col("text").alias("t" + v)) for v in "ab")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(tx, "a").join(ty, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(num, den, k), "a long, b long"))
+
+    edges = linked(stars.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).filter(F.col("share") >= AGREE).select("a", "b"))
+    members = materialize(family.join(sketches, "id"))
+    sizes = members.groupBy("f").agg(F.count("*").alias("size")).filter("size > 2")
     labels = components(edges)
-    rest, before = apart(buckets.filter("size > 2"), labels), None
-    tested = 1
-    while True:
-        rows = rest.count()
-        if not rows:
-            break
-        largest = rest.groupBy("cell", "c").count().groupBy("cell").agg(F.max_by("c", "count").alias("main"))
-        stragglers = rest.join(largest, "cell").filter("c <> main")
-        left = stragglers.agg(F.sum("size")).first()[0] or 0
-        if left <= 20 * rows or before is not None and left > before / 2:
+    for first, last in RANKS:
+        now = members.join(sizes, "f").join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        main = now.groupBy("f", "c").agg(F.count("*").alias("held"), F.first("size").alias("whole")).groupBy("f").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.max("held").alias("held"), F.first("whole").alias("whole")).filter("held < whole")
+        now = materialize(now.join(main.select("f", "main"), "f"))
+        if now.isEmpty():
             break
-        before = left
-        picks = rest.groupBy("cell").agg(*[F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(tested + i))).alias(f"p{i}") for i in range(LEADERS)])
-        tested += LEADERS
-        probe = rest.join(picks, "cell").select("rep", "c", F.explode(F.array(*[f"p{i}" for i in range(LEADERS)])).alias("p")).filter("c <> p.c")
-        edges = edges.unionByName(links(confirmed(probe.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct())))
-        labels = components(edges)
-        rest = apart(rest, labels)
-    if rows:
-        full = rest.join(sketches.select(F.col("id").alias("rep"), "sketch"), "rep").join(largest, "cell")
-        item, block = F.struct(F.col("rep").alias("id"), "c", "sketch"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).alias("block")
-        some_, all_ = (part.groupBy("cell", block).agg(F.collect_list(item).alias(as_)).select("cell", as_) for part, as_ in ((full.filter("c <> main"), "stragglers"), (full, "members")))
-        pairs = some_.join(all_, "cell").select("stragglers", "members").mapInArrow(_blocks, "a long, b long").distinct()
-        sizes = classes.select("rep", "n")
-        pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b").distinct()
-        edges = edges.unionByName(links(pairs))
-        labels = components(edges)
+        pairs = _block_pairs(now.filter("c <> main"), now, "f", "size").select("xs", "ys").mapInArrow(_ranked(num, den, first, last), "a long, b long").distinct()
+        more = linked(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            labels = components(edges)
 
     named = classes.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").filter("copies > 1 or c is not null").select("k1", "k2", "n", F.coalesce("c", "rep").alias("c"))
     out = sig.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
