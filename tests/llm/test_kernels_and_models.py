@@ -1,6 +1,7 @@
 """Kernels, models and rewriting without Spark, against plain Python."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,15 @@ def test_attention_does_not_see_ahead():
     assert np.allclose(pa_[:40], pb[:40]) and not np.allclose(pa_[41:], pb[41:])
 
 
+def test_corpus_pass_trains_on_every_word_of_every_text():
+    texts = ["one", "two words", "a b c " * 40, "", "the " * 100]
+    ranks = lm.Ranks(np.arange(lm.subwords(lm.VOCABULARY).size)[::-1])
+    state = SimpleNamespace(value=(ranks, lm._pack(lm.Attention(ranks))))
+    whole, parts = (list(lm._trainer(lm.VOCABULARY, state, whole=w)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))) for w in (True, False))
+    assert parts[0].column(1).to_pylist() == [1 + 2 + 120 + 100 + len(texts)]
+    assert whole[0].column(1).to_pylist() == [lm.PASSES * (1 + 2 + 120 + 100 + len(texts))]
+
+
 def test_words_become_ids_and_back():
     words = lm.subwords(lm.VOCABULARY)
     text = "The Être  x\n\ny 12"
