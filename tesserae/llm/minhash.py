@@ -9,7 +9,8 @@ Copies are handled as classes of equal sets, named by their smallest document. M
 each other. Each meets the smallest leader of its buckets, and those whose sketches agree with it form a family;
 buckets that still hold several families try their own leader, and what is still apart then is compared in blocks that
 report families only. Within a family, links to leaders are confirmed first; members that remain apart from its main component then try the members they agree with most, in a
-few rounds whose last has no limit.
+few rounds. The last has no limit: it tries every partner that no round has tried. Two sets in different components after
+it were in different ones before it, so at least one of them was apart from the main component and met the other.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ AGREE = 0.68
 #: Share from which two sets are of one family: links of one set are within distance 0.4 of each other.
 FAMILY = 0.56
 #: Members per block; ranks of partners, by agreement, that a member apart tries in each round.
-BLOCK, RANKS = 512, ((0, 4), (4, 48), (48, 1 << 30))
+BLOCK, RANKS = 512, ((0, 4), (4, 48), (0, 1 << 30))
 _MULTIPLY = np.array([K.mix_int(2 * t + 1) | 1 for t in range(_HASHES)], np.uint64).astype(np.uint32)
 _ADD = np.array([K.mix_int(2 * t + 2) for t in range(_HASHES)], np.uint64).astype(np.uint32)
 
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     edges = linked(stars.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).filter(F.col("share") >= AGREE).select("a", "b"))
     members = materialize(family.join(sketches, "id"))
     sizes = members.groupBy("f").agg(F.count("*").alias("size")).filter("size > 2")
-    labels = components(edges)
+    labels, tried = components(edges), stars.select("a", "b")
     for first, last in RANKS:
         now = members.join(sizes, "f").join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         main = now.groupBy("f", "c").agg(F.count("*").alias("held"), F.first("size").alias("whole")).groupBy("f").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.max("held").alias("held"), F.first("whole").alias("whole")).filter("held < whole")
@@ -219,7 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if now.isEmpty():
             break
         pairs = _block_pairs(now.filter("c <> main"), now, "f", "size").select("xs", "ys").mapInArrow(_ranked(num, den, first, last), "a long, b long").distinct()
-        more = linked(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        more = linked(pairs)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = components(edges)

@@ -85,6 +85,17 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_when_the_main_component_changes(spark):
+    """x1, x2, x3 are the main component until y1 to y8 merge; the only link between them is x2-y1."""
+    c, x, y = ([f"{v}{i}" for i in range(n)] for v, n in (("c", 770), ("x", 115), ("y", 115)))
+    t = [f"t{i}" for i in range(20)]
+    sets = [c + x, c + x[20:] + t, c + x[:-2], c + y[20:] + t] + [c + y + [f"{j}p{i}" for i in range(6)] for j in range(7)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, [" ".join(s) for s in sets]), k=1).collect()}
+    linked = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
+    assert [(a, b) for a, b in linked if a < 3 <= b] == [(1, 3)]
+    assert [got[i] for i in range(len(sets))] == [0] * len(sets)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(odd_documents(spark), k=5).collect()
     assert len(got) == 10
