@@ -211,7 +211,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     edges = linked(stars.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).filter(F.col("share") >= AGREE).select("a", "b"))
     members = materialize(family.join(sketches, "id"))
-    sizes = members.groupBy("f").agg(F.count("*").alias("size")).filter("size > 2")
+    sizes = members.groupBy("f").agg(F.count("*").alias("size"))
+    # of families of two, those that blocks reported (a is the smaller member then) have not been confirmed yet
+    sizes = sizes.filter("size > 2").unionByName(sizes.filter("size = 2").join(wider.select(F.col("a").alias("f")).distinct(), "f", "left_semi"))
     labels, tried = components(edges), stars.select("a", "b")
     for first, last in RANKS:
         now = members.join(sizes, "f").join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))

@@ -8,11 +8,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesserae.llm import decontaminate, html, lm, minhash, mixing, pii, pivots, quality, registry, secrets, urls
+from tesserae.llm import kernels as K
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string, key int, id int, n int"
@@ -96,6 +98,28 @@ def test_near_duplicates_when_the_main_component_changes(spark):
     assert [got[i] for i in range(len(sets))] == [0] * len(sets)
 
 
+def bucket_leaders(p, q):
+    """Sets of up to six words that p and q share, one for each bucket that holds both."""
+    words = sorted({*p, *q})
+    _, _, buf, offs = next(K.chunks(pa.array(words)))
+    h, _ = K.shingle_hashes(*K.word_hashes(buf, offs), 1)
+    mins = (h >> np.uint64(32)).astype(np.uint32)[:, None] * minhash._MULTIPLY + minhash._ADD
+    low = [np.where(np.isin(words, s)[:, None], mins, np.uint32(0xFFFFFFFF)).argmin(0) for s in (p, q)]
+    assert (low[0] == low[1]).mean() >= minhash.AGREE
+    bands = [(i, [words[w] for w in low[0][i : i + minhash.ROWS]]) for i in range(0, minhash._BANDED, minhash.ROWS) if (low[0] == low[1])[i : i + minhash.ROWS].all()]
+    return [sorted({*a, *b}) for i, a in bands for j, b in bands if i < minhash._BANDED // 2 <= j]
+
+
+def test_a_pair_whose_buckets_have_other_leaders(spark):
+    both = [f"c{i}" for i in range(90)]
+    p, q = both + [f"p{i}" for i in range(9)], both + [f"q{i}" for i in range(9)]
+    leaders = bucket_leaders(p, q)
+    assert leaders
+    texts = [" ".join(s) for s in [*leaders, p, q]]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), k=1).collect()}
+    assert got[len(leaders)] == got[len(leaders) + 1] == len(leaders)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(odd_documents(spark), k=5).collect()
     assert len(got) == 10
