@@ -36,6 +36,8 @@ GIVEN = {
 }
 #: Fixed list: titles before a name, by gender.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Herrn", "M", "Monsieur", "Señor", "Sr", "Don", "Господин"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Señora", "Sra", "Srta", "Doña", "Госпожа"]}
+#: Capitalised words that end a name; none is a surname in common use.
+ENDS = frozenset("And At By For From Had Has Of Said That The This Was Were When Which Who With".split())
 _GIVEN = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "áàâäãåéèêëíìîïóòôöõúùûüñçßæøýÿ", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÆØÝ"]
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
@@ -157,7 +159,11 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities of a text, in order and apart from each other; names come word by word."""
+    """(start, end, kind) of the entities of a text, in order and apart from each other.
+
+    Names come word by word: a run of capitalised words parted by single spaces is a name from its title or else from
+    its first given name to its end. A lower-case word, a mark or a word of ``ENDS`` ends it.
+    """
     found = []
     at = text.find("@")
     while at >= 0:
@@ -174,11 +180,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _NAMES.finditer(text):
         words = [(w.start() + m.start(), w.end() + m.start(), w[0]) for w in re.finditer(r"[^ ]+", m[0])]
         titled = words[0][2].rstrip(".") in _TITLED
-        for i, (s, e, w) in enumerate(words[1:] if titled else words):
-            if titled and i < 3 or w in _GIVEN or known and words[0][2] in _GIVEN and i < 3 and len(words) > 1 and not titled:
-                if titled or len(words) > 1:
-                    known.add(w)
-                    found.append((s, e, "name"))
+        first = 1 if titled else next((i for i, (_, _, w) in enumerate(words) if w in _GIVEN), len(words))
+        for s, e, w in words[first:]:
+            if w in ENDS:
+                break
+            known.add(w)
+            found.append((s, e, "name"))
     if known:
         again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)")
         found += [(m.start(), m.end(), "name") for m in again.finditer(text)]

@@ -116,6 +116,15 @@ def test_surrogates_keep_kind_and_format():
     assert pii.rewrite(None) == (None, 0) and pii.rewrite("") == ("", 0) and pii.rewrite("Nothing here, at 5.") == ("Nothing here, at 5.", 0)
 
 
+@pytest.mark.parametrize("name", ["Juan Carlos María García López", "Maria Anna Louise Garcia", "Anna Maria Louise Sophie Garcia", "John Smith"])
+def test_names_of_any_length(name):
+    for text in (f"Mr. {name} came; {name.split()[-1]} left.", f"today {name} came; {name.split()[-1]} left."):
+        if text.startswith("Mr.") or name.split()[0] in pii._GIVEN:
+            assert [text[s:e] for s, e, k in pii.detect(text) if k == "name"] == [*name.split(), name.split()[-1]]
+            assert not {"The", "Open"} & {text[s:e] for s, e, _ in pii.detect(f"Mr. {name} At The Open. The end.")}
+            assert not set(name.split()) & set(re.findall(r"\w+", pii.rewrite(text)[0])) - set(pii._GIVEN)
+
+
 def test_ordinal_regression_separates_grades():
     rng = np.random.default_rng(0)
     names = [K.mix(np.arange(i * 50 + 1, i * 50 + 51).astype(np.uint64)) for i in range(4)]
