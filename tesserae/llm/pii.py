@@ -3,13 +3,16 @@
 Every value is a string over a format (which positions hold digits, letters of a script and case, octets or names).
 A keyed bijection without fixed points on the strings of that format gives the surrogate, so equal entities stay
 equal, different ones stay different, and none stays itself. A corpus-wide check then finds surrogates that coincide
-with each other or with a value that the corpus holds, and moves those entities on to further attempts.
+with each other or with a value that the corpus holds, and moves those entities on to further attempts until none is
+left. Formats too full for that keep the bijection throughout: distinctness comes before avoiding values of the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,8 @@ from tesserae.llm.store import materialize, table
 KEY = b"tesserae example key"
 #: Entities off their first attempt that are broadcast at most; beyond that they reach their documents by a join.
 MOST_MOVED = 100_000
-ATTEMPTS = 6
+#: Attempts after which a format that still has clashes counts as too full, and goes back to its bijection as a whole.
+ATTEMPTS = 32
 
 #: Fixed lists: given names by script and gender.
 GIVEN = {
@@ -226,6 +230,23 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], names=["kind", "value"])
 
 
+def form(kind: str, value: str) -> tuple[str, float]:
+    """The format of a value and how many values it has; all surrogates of a format share one."""
+    fixed, free = "", value
+    if kind == "ipv4":
+        return "ipv4", 2.0**32
+    if kind == "email":
+        free, _, fixed = value.rpartition("@")
+        fixed = "@" + fixed
+    elif kind == "iban":
+        fixed, free = value[:2], value[4:]
+    elif kind == "phone" and value.startswith("+"):
+        fixed = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)[0]
+        free = value[len(fixed) :]
+    used = [_PLACE[c][0] if c in _PLACE else c for c in free]
+    return f"{fixed}|{''.join(a[0] for a in used)}", float(math.prod(len(a) for a in used if len(a) > 1))
+
+
 def _surrogates(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,27 +256,52 @@ def _surrogates(key: bytes):
     return run
 
 
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds, values, news = (batch.column(c).to_pylist() for c in ("kind", "value", "surrogate"))
+        own, new = [form(k, v)[0] for k, v in zip(kinds, values, strict=True)], [form(k, v) for k, v in zip(kinds, news, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string()), pa.array([f for f, _ in new], pa.string()), pa.array([n for _, n in new], pa.float64())], names=[*batch.schema.names, "own", "form", "room"])
+
+
 def moved_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """(kind, value, attempt > 0) of the entities whose first surrogates clash with a value or surrogate of the corpus.
 
     Names draw on short lists, where a surrogate is bound to be another's name; they are distinct by construction and
-    aren't moved. After ``ATTEMPTS`` rounds an entity keeps its last surrogate.
+    aren't moved. A format whose surrogates and corpus values don't fit in it together, or that has clashes left after
+    ``ATTEMPTS`` rounds, stays at its first attempt as a whole, where all its surrogates differ; a warning counts those
+    that are values of the corpus. (Numbers that pass the Luhn check and others share formats of 10^13 values and more,
+    which no corpus fills.)
     """
-    spark = docs.sparkSession
     found = docs.select(F.col(text_col)).mapInArrow(_entities, "kind string, value string").distinct().filter("kind <> 'name'")
-    now = materialize(found.withColumn("attempt", F.lit(0)).mapInArrow(_surrogates(key), "kind string, value string, attempt int, surrogate string"))
-    out = now.filter("attempt > 0")
-    for attempt in range(1, ATTEMPTS + 1):
-        taken = now.select(F.col("value").alias("surrogate")).join(now.select("surrogate"), "surrogate", "left_semi").distinct()
+    row = "kind string, value string, attempt int, surrogate string"
+    whole = materialize(found.withColumn("attempt", F.lit(0)).mapInArrow(_surrogates(key), row).mapInArrow(_forms, f"{row}, own string, form string, room double"))
+    values = whole.select(F.col("value").alias("surrogate")).distinct()
+
+    def clashes(now: DataFrame) -> DataFrame:
+        taken = values.join(now.select("surrogate"), "surrogate", "left_semi").withColumn("hit", F.lit(True))
         twice = now.groupBy("surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("surrogate", F.col("first.value").alias("keeps"))
-        bad = now.join(taken.withColumn("hit", F.lit(True)), "surrogate", "left").join(twice, "surrogate", "left").filter("hit or value <> keeps").select("kind", "value", F.lit(attempt).alias("attempt"))
-        bad = materialize(bad)
+        return materialize(now.join(taken, "surrogate", "left").join(twice, "surrogate", "left").filter("hit or value <> keeps").select("kind", "value", "form"))
+
+    bad = clashes(whole)
+    now = whole.join(bad.select("form").distinct(), "form", "left_semi")  # surrogates of a format stay in it, so the others are done
+    held = whole.groupBy(F.col("own").alias("form")).agg(F.count("*").alias("held"))
+    wanted = now.groupBy("form").agg(F.count("*").alias("n"), F.first("room").alias("room"))
+    full = materialize(wanted.join(held, "form", "left").filter("n + coalesce(held, 0) > room").select("form"))
+    bad, now = bad.join(full, "form", "left_anti"), materialize(now.join(full, "form", "left_anti").select("kind", "value", "attempt", "surrogate", "form"))
+    for attempt in range(1, ATTEMPTS + 1):
         if bad.isEmpty():
             break
-        fresh = bad.mapInArrow(_surrogates(key), "kind string, value string, attempt int, surrogate string")
+        fresh = bad.select("kind", "value", F.lit(attempt).alias("attempt")).mapInArrow(_surrogates(key), row)
+        fresh = fresh.join(bad, ["kind", "value"]).select(*now.columns)
         now = materialize(now.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(fresh))
-        out = now.filter("attempt > 0")
-    return out.select("kind", "value", "attempt")
+        bad = clashes(now)
+    stuck = bad.select("form").distinct()
+    full = materialize(full.unionByName(stuck))
+    if not full.isEmpty():
+        now = now.join(stuck, "form", "left_anti")
+        left = whole.join(full, "form", "left_semi").join(values, "surrogate", "left_semi").count()
+        warnings.warn(f"{left} surrogates are values of the corpus: their formats are too full to avoid it", stacklevel=2)
+    return now.filter("attempt > 0").select("kind", "value", "attempt")
 
 
 def _rewritten(key: bytes, moved, column: str, count: bool):

@@ -259,6 +259,22 @@ def test_clashing_surrogates_move_on(spark, monkeypatch):
     assert [r.text for r in pii.pseudonymize(docs).orderBy("doc_id").collect()] == texts
 
 
+@pytest.mark.parametrize("share", [0.4, 0.75])
+def test_surrogates_of_full_formats_differ(spark, share):
+    """Four digits behind a country code: up to half of them in use no surrogate is a value, beyond that they still differ."""
+    values = [f"+7 {i // 100:02d}-{i % 100:02d}" for i in random.Random(2).sample(range(10_000), int(10_000 * share))]
+    docs = documents(spark, [" ; ".join(values[i : i + 500]) for i in range(0, len(values), 500)])
+    assert {t for r in docs.collect() for t in (r.text[s:e] for s, e, _ in pii.detect(r.text))} == set(values)
+    if share > 0.5:
+        with pytest.warns(UserWarning, match="surrogates are values of the corpus"):
+            moved = {r.value: r.attempt for r in pii.moved_entities(docs).collect()}
+    else:
+        moved = {r.value: r.attempt for r in pii.moved_entities(docs).collect()}
+    new = [pii.surrogate("phone", v, attempt=moved.get(v, 0)) for v in values]
+    assert len(set(new)) == len(values) and all(a != b for a, b in zip(values, new, strict=True))
+    assert share > 0.5 or not set(new) & set(values)
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
