@@ -3,8 +3,9 @@
 A page is read once into text blocks, each with its root-to-leaf path of block elements. Blocks under elements that
 are boilerplate by kind (menus, headers, footers, sidebars, forms, notices, adverts, comments, scripts) are left out.
 Per path, text length outside links and punctuation are aggregated over its blocks; both ratios are fused, smoothed
-over the page's order and compared with a share of the page's level. Blocks that pass, inside the element that holds
-most of the passing text, are the article.
+over the page's order and compared with a share of the page's level. The main element that holds most of the passing
+text is the article, with all its blocks: short items, table cells and lists of links are text of the article too. On
+a page without such an element the blocks that pass are the article.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def _select(page: _Page) -> str:
     best = max(held, key=lambda m: (held[m], m), default=None)
     if best is not None and held[best] * 2 < everything:
         best = None
-    return "\n".join(text for ok, (text, _, _, chain) in zip(passing, blocks, strict=True) if ok and (best is None or best in chain))
+    return "\n".join(text for ok, (text, _, _, chain) in zip(passing, blocks, strict=True) if (ok if best is None else best in chain))
 
 
 def main_text(source: str | None) -> str:

@@ -91,6 +91,15 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+def test_articles_keep_short_items_cells_and_links():
+    long = "Words, of a long paragraph. " * 20
+    items, cells, links = ([f"{v} {i}" for i in range(12)] for v in ("item", "cell", "link"))
+    inner = f"<p>{long}</p><ul>{''.join(f'<li>{v}' for v in items)}</ul><table>{''.join(f'<tr><td>{v}</td></tr>' for v in cells)}</table><p>{long}</p><ol>{''.join(f'<li><a href=x>{v}</a>' for v in links)}</ol><p>{long}</p>"
+    want = "\n".join([long.strip(), *items, *cells, long.strip(), *links, long.strip()])
+    for tag in ("article", "main"):
+        assert html.main_text(f"<body><div>Top <a href=x>left</a></div><nav>Menu</nav><{tag}>{inner}<aside>More</aside></{tag}><div><a href=x>Elsewhere</a></div></body>") == want
+
+
 @given(st.integers(1, 5000), st.data())
 @settings(max_examples=40, deadline=None)
 def test_permutation_is_a_bijection_without_fixed_points(size, data):
