@@ -64,20 +64,15 @@ class Model:
     """Feature hashes with weights, and the ordered thresholds."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
-        order = np.argsort(np.abs(weights))  # of features that share a slot the heaviest stays
+        order = np.argsort(keys)
         self.keys, self.weights, self.cuts = keys[order], weights[order].astype(np.float64), cuts
 
     def tails(self, column: pa.Array) -> np.ndarray:
         """P(grade >= j), j = 1 .. grades - 1, of each text."""
-        bits = max(12, int(np.ceil(np.log2(len(self.keys) + 1))) + 3)
-        if not hasattr(self, "slots"):
-            self.slots = np.full(1 << bits, -1, np.int32)
-            self.slots[(self.keys >> np.uint64(64 - bits)).astype(np.int64)] = np.arange(len(self.keys), dtype=np.int32)
         score = []
         for h, row, n in features(column):
-            f = self.slots[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            ok = f >= 0
-            ok[ok] = self.keys[f[ok]] == h[ok]
+            f = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+            ok = self.keys[f] == h if len(self.keys) else np.zeros(len(h), bool)
             pair = np.unique(row[ok] * np.int64(len(self.keys)) + f[ok])
             score.append(np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n) if len(pair) else np.zeros(n))
         x = np.concatenate(score) if score else np.zeros(0)

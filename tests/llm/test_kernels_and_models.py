@@ -149,6 +149,15 @@ def test_ordinal_regression_separates_grades():
     assert empty.tails(pa.array(["a b", None, ""])).shape == (3, 2)
 
 
+def test_every_fitted_weight_counts():
+    texts = pa.array([" ".join(f"word{i}" for i in range(a, a + 40)) for a in range(0, 4000, 40)])
+    _, row, _ = (got := next(quality.features(texts)))
+    keys = np.unique(got[0])
+    model = quality.Model(keys, np.linspace(-1, 1, len(keys)), np.zeros(2))
+    want = [np.linspace(-1, 1, len(keys))[np.searchsorted(keys, np.unique(got[0][row == i]))].sum() for i in range(len(texts))]
+    assert np.allclose(model.tails(texts)[:, 0], 1 / (1 + np.exp(-np.array(want))))
+
+
 def test_attention_is_a_distribution_with_right_gradients():
     rng = np.random.default_rng(1)
     ranks = lm.Ranks(rng.integers(0, 50, 6000))
