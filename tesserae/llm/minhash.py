@@ -8,9 +8,11 @@ at s = 0.8 that is below 2 * (1 - 0.8^3)^12 = 0.0004. Candidates are confirmed o
 Copies are handled as classes of equal sets, named by their smallest document. Members of a bucket are not paired with
 each other. Each meets the smallest leader of its buckets, and those whose sketches agree with it form a family;
 buckets that still hold several families try their own leader, and what is still apart then is compared in blocks that
-report families only. Within a family, links to leaders are confirmed first; members that remain apart from its main component then try the members they agree with most, in a
-few rounds. The last has no limit: it tries every partner that no round has tried. Two sets in different components after
-it were in different ones before it, so at least one of them was apart from the main component and met the other.
+report families only. Within a family, links to leaders are confirmed first. A link that is still missing has an end
+apart from its family's main component, so members apart meet their family. Shingles that only one member of the family
+has can't be in an intersection: who has too many of them for a similarity of 0.8 has no link at all and leaves, whoever
+stays is compared block by block, by exact counts on full sets, with members of fitting sizes. A block pair reports the
+links that span its components, never all pairs; no limit of ranks or partners applies.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ _HASHES = 192
 AGREE = 0.68
 #: Share from which two sets are of one family: links of one set are within distance 0.4 of each other.
 FAMILY = 0.56
-#: Members per block; ranks of partners, by agreement, that a member apart tries in each round.
-BLOCK, RANKS = 512, ((0, 4), (4, 48), (0, 1 << 30))
+#: Members, and shingles, that a block holds about; shingles whose columns are counted at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 4096
+#: Slices of a family when its members meet its main component, so that a large one isn't one task's.
+SALT = 32
 _MULTIPLY = np.array([K.mix_int(2 * t + 1) | 1 for t in range(_HASHES)], np.uint64).astype(np.uint32)
 _ADD = np.array([K.mix_int(2 * t + 2) for t in range(_HASHES)], np.uint64).astype(np.uint32)
 
@@ -71,19 +75,20 @@ def _signatures(k: int):
     return run
 
 
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for i, j, buf, offs in K.chunks(column):
+        h, at = K.shingle_hashes(*K.word_hashes(buf, offs), k)
+        yield from (h[at[x] : at[x + 1]] for x in range(j - i))
+
+
 def _similar(num: int, den: int, k: int):
     """(a, b) of the pairs whose shingle sets satisfy den * |intersection| >= num * |union|."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, buf, offs in K.chunks(column):
-            h, at = K.shingle_hashes(*K.word_hashes(buf, offs), k)
-            yield from (h[at[x] : at[x + 1]] for x in range(j - i))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for x, y in zip(_sets(batch.column(2), k), _sets(batch.column(3), k), strict=True):
                 both = K.overlap(x, y)
                 ok.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(ok, pa.bool_()))
@@ -91,6 +96,31 @@ def _similar(num: int, den: int, k: int):
     return run
 
 
+def _hashes(k: int):
+    """(id, f, c, in_main, n, set as bytes) of members with their texts."""
+    schema = pa.schema([("id", pa.int64()), ("f", pa.int64()), ("c", pa.int64()), ("in_main", pa.bool_()), ("n", pa.int64()), ("set", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_sets(batch.column(4), k))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+
+    return run
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, shingle, one holder, holders) summed over a batch of members (key, f, set)."""
+    schema = pa.schema([("f", pa.int64()), ("h", pa.int64()), ("key", pa.int64()), ("holders", pa.int64())])
+    for batch in batches:
+        keys, fs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        for f in np.unique(fs):
+            own = np.flatnonzero(fs == f)
+            h, first, n = np.unique(np.concatenate([sets[r] for r in own]), return_index=True, return_counts=True)
+            who = np.repeat(keys[own], [len(sets[r]) for r in own])[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), f)), pa.array(h), pa.array(who), pa.array(n)], schema=schema)
+
+
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _HASHES)
 
@@ -108,6 +138,19 @@ def _members(part: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.array([v[c] for v in part], np.int64) for c in ("id", "c", "n")) + (np.frombuffer(b"".join(v["sketch"] for v in part), np.uint8).reshape(-1, _HASHES),)
 
 
+def _spanning(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest vertex, vertex) of the vertices below n that the links (p, q) join to a smaller one."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[p], label[q])
+        if (label[p] == low).all() and (label[q] == low).all():
+            moved = np.flatnonzero(label < np.arange(n))
+            return label[moved], moved
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
+        label = label[label]
+
+
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For two blocks of a bucket: (a, b) that span the components of members whose sketches agree."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -120,43 +163,88 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = np.flatnonzero((yc != xc[r]) & ((y == x[r]).mean(1) >= FAMILY))
                 p.append(np.full(len(hit), at[r]))
                 q.append(at[len(xi) + hit])
-            p, q = np.concatenate(p), np.concatenate(q)
-            label = np.arange(len(ids))
-            while True:
-                low = np.minimum(label[p], label[q])
-                if (label[p] == low).all() and (label[q] == low).all():
-                    break
-                np.minimum.at(label, p, low)
-                np.minimum.at(label, q, low)
-            moved = np.flatnonzero(label < np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[label[moved]]), pa.array(ids[moved])], schema=schema)
-
-
-def _ranked(num: int, den: int, first: int, last: int):
-    """For a block of members apart and a block of their family: (a, b) of each one's partners at agreement ranks [first, last)."""
+            a, b = _spanning(np.concatenate(p), np.concatenate(q), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], schema=schema)
+
+
+def _block_pairs(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Pairs (xs, ys) of blocks of about BLOCK members (id, c, n, sketch) that share ``key``."""
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK))
+    xs, ys = (rows.groupBy(key, block.alias(f"block_{name}")).agg(F.collect_list(F.struct("id", "c", "n", "sketch")).alias(name)) for name in ("xs", "ys"))
+    return xs.join(ys, key).filter("block_xs <= block_ys").select("xs", "ys")
+
+
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every x with every y: products of their columns, a run of shared shingles at a time."""
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    sides = []
+    for sets in (xs, ys):
+        h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        ok = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((row[ok][order], at[ok][order]))
+    for c in range(0, len(shared), COLUMNS):
+        dense = []
+        for (row, at), sets in zip(sides, (xs, ys), strict=True):
+            part = slice(*np.searchsorted(at, (c, c + COLUMNS)))
+            m = np.zeros((len(sets), min(COLUMNS, len(shared) - c)), np.float32)
+            m[row[part], at[part] - c] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _meet(num: int, den: int):
+    """For a block of members apart and a block of their family: (a, b) of components that links between the blocks join."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (xi, xc, xn, x), (yi, yc, yn, y) = _members(row["xs"]), _members(row["ys"])
-                for r in range(len(xi)):
-                    share = (y == x[r]).mean(1)
-                    fits = (share >= AGREE) & (np.minimum(yn, xn[r]) * den >= np.maximum(yn, xn[r]) * num) & (yi != xi[r])
-                    at = np.flatnonzero(fits)
-                    at = at[np.lexsort((yi[at], -share[at]))][first:last]
-                    at = yi[at[yc[at] != xc[r]]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, xi[r])), pa.array(np.maximum(at, xi[r]))], schema=schema)
+    def run(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        side = lambda t: ([np.frombuffer(v.as_buffer(), np.int64) for v in t.column("set").combine_chunks()], t.column("c").to_numpy(), t.column("n").to_numpy())
+        if not xs.num_rows or not ys.num_rows:
+            return schema.empty_table()
+        (x, xc, xn), (y, yc, yn) = side(xs), side(ys)
+        both = _overlaps(x, y).astype(np.int64)
+        p, q = np.nonzero((den * both >= num * (xn[:, None] + yn[None, :] - both)) & (xc[:, None] != yc[None, :]))
+        names, at = np.unique(np.concatenate([xc, yc]), return_inverse=True)
+        a, b = _spanning(at[p], at[len(x) + q], len(names))
+        return pa.Table.from_arrays([pa.array(names[a]), pa.array(names[b])], schema=schema)
 
     return run
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, key: str, size: str) -> DataFrame:
-    """Pairs (xs, ys) of blocks of about BLOCK members (id, c, n, sketch) that share ``key``."""
-    item = F.struct("id", "c", "n", "sketch")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / BLOCK))
-    xs, ys = (part.groupBy(key, block.alias(f"block_{name}")).agg(F.collect_list(item).alias(name)) for part, name in ((left, "xs"), (right, "ys")))
-    return xs.join(ys, key)
+def _apart(members: DataFrame, labels: DataFrame, texts: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(a, b): components that links of members apart from their family's main component join.
+
+    ``members``: (id, f), ``labels``: (id, c) of members that aren't their component's smallest.
+    """
+    now = members.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    main = now.groupBy("f", "c").agg(F.count("*").alias("held")).groupBy("f").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.max("held").alias("held"), F.sum("held").alias("whole"))
+    main = main.filter("held < whole").select("f", "main", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    now = now.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALT))).join(main, ["f", "salt"]).select("id", "f", "c", "main")
+    named = texts.join(now.select("id", "f", "c", (F.col("c") == F.col("main")).alias("in_main")), "id").select("id", "f", "c", "in_main", "text")
+    sets = materialize(named.mapInArrow(_hashes(k), "id long, f long, c long, in_main boolean, n long, set binary").withColumn("key", F.xxhash64("set")))
+    alone = sets.select("key", "f", "set").mapInArrow(_holders, "f long, h long, key long, holders long").groupBy("f", "h").agg(F.min("key").alias("key"), F.sum("holders").alias("holders"))
+    alone = alone.filter("holders = 1").groupBy("f", "key").agg(F.count("*").alias("own"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    fit = sets.join(alone, ["f", "key"], "left").filter(F.col("n") * num <= (F.col("n") - F.coalesce("own", F.lit(0))) * den)
+    fit = materialize(fit.select("id", "f", "c", "in_main", "n", "set", band.alias("band")))
+
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with their block, and the blocks."""
+        sizes = rows.groupBy("f", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        each = sizes.select("f", F.col("band").alias(f"band_{name}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(name))
+        dealt = sizes.select("f", "band", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        at = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALT))).join(dealt, ["f", "band", "salt"])
+        return at.select("id", "f", "c", "n", "set", F.col("band").alias(f"band_{name}"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias(name)), each
+
+    xs, x_blocks = blocks(fit.filter("not in_main"), "x")
+    ys, y_blocks = blocks(fit, "y")
+    pairs = materialize(x_blocks.join(y_blocks, "f").filter("abs(band_x - band_y) <= 1"))
+    key = ["f", "band_x", "x", "band_y", "y"]
+    left, right = (rows.join(pairs, ["f", f"band_{v}", v]).select(*(F.col(c).alias(c) for c in (*key, "c", "n", "set"))) for rows, v in ((xs, "x"), (ys, "y")))
+    return materialize(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_meet(num, den), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     family = components(stars)
     cells = off(other.filter("size > 2"), family).select("cell").distinct()
     rest = buckets.join(cells, "cell", "left_semi").join(family.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")).join(sketches, "id")
-    wider = materialize(_block_pairs(rest, rest, "cell", "size").filter("block_xs <= block_ys").select("xs", "ys").mapInArrow(_families, "a long, b long").distinct())
+    wider = materialize(_block_pairs(rest, "cell", "size").mapInArrow(_families, "a long, b long").distinct())
     if not wider.isEmpty():
         family = components(stars.select("a", "b").unionByName(wider))
     family = family.toDF("id", "f")
@@ -210,24 +298,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         return materialize(pairs.join(tx, "a").join(ty, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(num, den, k), "a long, b long"))
 
     edges = linked(stars.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).filter(F.col("share") >= AGREE).select("a", "b"))
-    members = materialize(family.join(sketches, "id"))
-    sizes = members.groupBy("f").agg(F.count("*").alias("size"))
-    # of families of two, those that blocks reported (a is the smaller member then) have not been confirmed yet
-    sizes = sizes.filter("size > 2").unionByName(sizes.filter("size = 2").join(wider.select(F.col("a").alias("f")).distinct(), "f", "left_semi"))
-    labels, tried = components(edges), stars.select("a", "b")
-    for first, last in RANKS:
-        now = members.join(sizes, "f").join(labels.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        main = now.groupBy("f", "c").agg(F.count("*").alias("held"), F.first("size").alias("whole")).groupBy("f").agg(F.max_by("c", F.struct("held", "c")).alias("main"), F.max("held").alias("held"), F.first("whole").alias("whole")).filter("held < whole")
-        now = materialize(now.join(main.select("f", "main"), "f"))
-        if now.isEmpty():
-            break
-        pairs = _block_pairs(now.filter("c <> main"), now, "f", "size").select("xs", "ys").mapInArrow(_ranked(num, den, first, last), "a long, b long").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        more = linked(pairs)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            labels = components(edges)
+    labels = components(edges)
+    more = _apart(family, labels.toDF("id", "c"), texts, num, den, k)
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     named = classes.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").filter("copies > 1 or c is not null").select("k1", "k2", "n", F.coalesce("c", "rep").alias("c"))
     out = sig.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")

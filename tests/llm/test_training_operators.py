@@ -331,3 +331,74 @@ def test_pipeline(spark, small):
     assert kept.groupby("doc_id")["copy"].apply(lambda c: sorted(c) == list(range(1, len(c) + 1))).all()
     for _, stage in corpus_pipeline.STAGES[1:]:
         stage(spark, odd_documents(spark), small).count()
+
+
+def _components_of(sets, num=80, den=100):
+    """Brute force: smallest id reachable, by counts of all pairs through a dense matrix of shared shingles."""
+    ids = sorted(sets)
+    seen = {}
+    for i in ids:
+        for s in sets[i]:
+            seen.setdefault(s, len(seen))
+    m = np.zeros((len(ids), len(seen)), np.float32)
+    for r, i in enumerate(ids):
+        m[r, [seen[s] for s in sets[i]]] = 1
+    m = m[:, m.sum(0) > 1]
+    n = np.array([len(sets[i]) for i in ids])
+    label = np.arange(len(ids))
+    links = []
+    for r in range(len(ids)):
+        both = (m @ m[r]).astype(np.int64)
+        links.append(np.flatnonzero((den * both >= num * (n + n[r] - both)) & (both > 0)))
+    while True:
+        low = np.array([min([label[r], *label[links[r]]]) for r in range(len(ids))])
+        if (low == label).all():
+            return {i: ids[label[r]] for r, i in enumerate(ids)}
+        label = low
+
+
+def _two_shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+
+
+def _near(rng, base, changes):
+    w = list(base)
+    for p in rng.choice(len(w), size=changes, replace=False):
+        w[p] = f"n{rng.integers(1 << 40)}"
+    return w
+
+
+def test_minhash_hot_family(spark):
+    """A family of thousands of near copies, many of them apart from its main component, some of those in pairs and chains."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in range(120)]
+    texts = {}
+    for i in range(3000):
+        texts[i] = _near(rng, base, int(rng.integers(1, 14)))
+    for i in range(3000, 3200, 2):  # pairs that only each other link
+        texts[i] = _near(rng, base, 12)
+        texts[i + 1] = _near(rng, texts[i], 3)
+    chain = _near(rng, base, 10)
+    for i in range(3200, 3230):
+        chain = _near(rng, chain, 4)
+        texts[i] = chain
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), k=2).collect()}
+    want = _components_of({i: _two_shingles(t) for i, t in rows})
+    assert len(set(want.values())) > 500
+    assert got == want
+
+
+def test_minhash_two_clusters(spark):
+    """Two clusters of one family whose only link is between members that rank far down in each other's agreement."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in range(200)]
+    for left, right in ((3, 8), (8, 3), (2, 1)):
+        xs = [_near(rng, base, 4) for _ in range(left)]
+        bridge = _near(rng, xs[-1], 9)
+        ys = [bridge, *(_near(rng, bridge, 2) for _ in range(right - 1))]
+        rows = [(i, " ".join(t)) for i, t in enumerate(xs + ys)]
+        want = _components_of({i: _two_shingles(t) for i, t in rows})
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+        assert got == want
