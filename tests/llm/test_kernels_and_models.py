@@ -1,6 +1,7 @@
 """Kernels, models and rewriting without Spark, against plain Python."""
 
 import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -202,17 +203,66 @@ def test_attention_does_not_see_ahead():
 
 def test_corpus_pass_trains_on_every_word_of_every_text():
     texts = ["one", "two words", "a b c " * 40, "", "the " * 100]
-    ranks = lm.Ranks(np.arange(lm.subwords(lm.VOCABULARY).size)[::-1])
-    state = SimpleNamespace(value=(ranks, lm._pack(lm.Attention(ranks))))
-    whole, parts = (list(lm._trainer(lm.VOCABULARY, state, whole=w)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))) for w in (True, False))
+    ranks = lm.Ranks(np.arange(lm.subwords(Path(lm.VOCABULARY).read_bytes()).size)[::-1])
+    state = SimpleNamespace(value=(Path(lm.VOCABULARY).read_bytes(), ranks, lm._pack(lm.Attention(ranks))))
+    whole, parts = (list(lm._trainer(state, whole=w)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))) for w in (True, False))
     assert parts[0].column(1).to_pylist() == [1 + 2 + 120 + 100 + len(texts)]
     assert whole[0].column(1).to_pylist() == [lm.PASSES * (1 + 2 + 120 + 100 + len(texts))]
 
 
 def test_words_become_ids_and_back():
-    words = lm.subwords(lm.VOCABULARY)
+    words = lm.subwords(Path(lm.VOCABULARY).read_bytes())
     text = "The Être  x\n\ny 12"
     buf = np.frombuffer(text.encode(), np.uint8)
     ids, bounds, *_ = words.texts(buf, np.array([0, len(buf)]))
     assert ids[-1] == words.size - 1 and bounds.tolist() == [0, len(ids)]
     assert words.encoding.decode(ids[:-1].tolist()) == " the Être x y 12"
+
+
+def _plain_score(model, ranks, ids):
+    """log10 probability of a text by a loop over its tokens: attention from each place over the places before it in its window."""
+    p, total = {k: v.astype(np.float64) for k, v in model.p.items()}, 0.0
+    place = ranks.place
+    for t, token in enumerate(ids):
+        first = t - t % lm.STRIDE - (lm.WINDOW - lm.STRIDE)  # the window's first input
+        inputs = [place[-1] if i == 0 else place[ids[i - 1]] for i in range(max(0, first), t + 1)]
+        x = p["e"][inputs]
+        near = p["near"][np.arange(len(inputs))[::-1]]
+        a = np.exp(x[-1] @ p["q"] @ (x @ p["k"]).T / np.sqrt(lm.DIM) + near)
+        h = x[-1] + (a / a.sum()) @ (x @ p["v"])
+        u = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        c, i = divmod(int(place[token]), lm.SIDE)
+        z, y = np.exp(u @ p["c"] + p["c0"]), np.exp(u @ p["m"][c] + p["m0"][c])
+        total += np.log(z[c] / z.sum() * y[i] / y.sum()) + ranks.within[token]
+    return total / np.log(10)
+
+
+def test_scores_of_whole_texts_by_a_loop():
+    rng = np.random.default_rng(8)
+    vocabulary = Path(lm.VOCABULARY).read_bytes()
+    words = lm.subwords(vocabulary)
+    ranks = lm.Ranks(rng.integers(0, 50, words.size))
+    model = lm.Attention(ranks)
+    for k in ("c", "m", "w2", "c0"):
+        model.p[k] = model.p[k] + rng.normal(size=model.p[k].shape).astype(np.float32) / 4
+    texts = ["", "one", "The quick brown fox jumps, over the lazy dog. " * 9, "é ß Ünïcode — 12345", " ".join(f"word{i}" for i in range(200))]
+    column = pa.array(texts)
+    _, _, buf, offs = next(K.chunks(column, 1 << 20))
+    ids, bounds, *_ = words.texts(buf, offs)
+    scorer = lm.Scorer(vocabulary, ranks, model, np.zeros(0, np.uint64), np.zeros(0), 1, 1)
+    want = [_plain_score(model, ranks, ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert np.allclose(scorer.model_scores(ids, bounds), want, rtol=1e-4)
+
+
+def test_words_at_hand_keep_apart():
+    """Entries of a full, colliding table still name their own words."""
+    kept, seen = lm.Words(), []
+    for r in range(4):
+        text = " ".join(f"w{(i * 7919 + r) % 5000}" for i in range(6000)).encode()
+        low = np.frombuffer(text, np.uint8)
+        s, e, _ = K.word_spans(low, np.array([0, len(low)]), K.TOKEN_BYTES)
+        kept.slot_hash[: 1 << 19] = 0  # half of the table forgets
+        kept.slot_at[: 1 << 19] = -1
+        at, new = kept.entries(low, s, e)
+        seen += new
+        assert [seen[i] for i in at] == text.split()
