@@ -1,6 +1,7 @@
 """Kernels, models and rewriting without Spark, against plain Python."""
 
 import re
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -266,3 +267,100 @@ def test_words_at_hand_keep_apart():
         at, new = kept.entries(low, s, e)
         seen += new
         assert [seen[i] for i in at] == text.split()
+
+
+def test_malformed_tags_cost_time_in_proportion():
+    for page in ("<a x=\"" * 200_000, "<" * 500_000, "<!-- " * 200_000, "<p class='" * 100_000 + ">text", "<script>" * 100_000, "<div " * 200_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 5
+    assert html.main_text("<body><p class=it's>One, two.</p><p>Three.</p></body>") == "One, two.\nThree."
+    assert html.main_text("<p>" + "word " * 400_000 + "</p>") == "word " * 399_999 + "word"
+
+
+def test_names_do_not_hide_an_article():
+    text = "".join(f"<p>{'Words, of a paragraph. ' * 9}{i}</p>" for i in range(5))
+    want = "\n".join(f"{'Words, of a paragraph. ' * 9}{i}" for i in range(5))
+    for names in ("class='post tags-open'", "id='search-results-page'", "class=widget"):
+        assert html.main_text(f"<body><ul class=menu><li><a href=x>Home</a></ul><div {names}>{text}</div><div class=ad>Buy now.</div></body>") == want
+
+
+class _Tree:
+    """A random page as a tree: an element is (tag, class, children), a leaf has a text and maybe a link."""
+
+    NAMES = ["", "", "", "", "ad", "menu", "intro", "share"]
+
+    def __init__(self, rng):
+        self.rng = rng
+
+    def node(self, depth, menu=False):
+        """Articles don't start inside menus here: there they would stand for a menu whose end is missing."""
+        rng = self.rng
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join("".join(rng.choice(list("abcd"), rng.integers(1, 6))) + rng.choice(["", "", ",", "."]) for _ in range(rng.integers(1, 40)))
+            return (rng.choice(["p", "h2"]), "", words, rng.random() < 0.15)
+        tag = rng.choice(["div", "section", "div", "article", "nav"], p=[0.4, 0.3, 0.15, 0.1, 0.05])
+        tag, menu = "div" if menu and tag == "article" else str(tag), menu or tag == "nav"
+        return (tag, rng.choice(self.NAMES), [self.node(depth - 1, menu) for _ in range(rng.integers(1, 5))], False)
+
+    def source(self, node):
+        tag, name, inner, link = node
+        body = "".join(map(self.source, inner)) if isinstance(inner, list) else f"<a href=x>{inner}</a>" if link else inner
+        return f"<{tag}{f' class={name}' if name else ''}>{body}</{tag}>"
+
+
+def _plain_main_text(top):
+    """The article of a tree of _Tree by the rules alone, each from its definition."""
+    leaves, marks = [], {"ad", "menu", "share"}
+
+    def walk(node, above):
+        here = [*above, node]
+        if isinstance(node[2], list):
+            for child in node[2]:
+                walk(child, here)
+        else:
+            leaves.append((node, here))
+
+    walk(("body", "", top, False), [])
+    marked = lambda node: node[1] in marks or node[0] == "nav"
+    key = lambda here: tuple(x[:2] for x in here)
+    plain = lambda node: 0 if node[3] else len(node[2])
+    own = lambda here: [n for n, h in leaves if key(h) == key(here)]
+    signs = lambda text: sum(text.count(c) for c in ".,")
+    score = [sum(map(plain, own(h))) / len(own(h)) * (1 + sum(signs(n[2]) for n in own(h)) / len(own(h))) ** 0.5 for _, h in leaves]
+    under = lambda e: [i for i, (_, h) in enumerate(leaves) if any(x is e for x in h)]
+    weight = lambda e: sum(score[i] * (html.MARKED if any(x[1] in marks for x in leaves[i][1]) else 1) for i in under(e))
+    smooth = []
+    for i in range(len(leaves)):
+        near = [(score[i + d], w) for d, w in zip(range(-2, 3), html.SMOOTH, strict=True) if 0 <= i + d < len(leaves)]
+        smooth.append(sum(s * w for s, w in near) / sum(w for _, w in near))
+    level = sum(s * plain(n) for s, (n, _) in zip(score, leaves, strict=True)) / (sum(plain(n) for n, _ in leaves) or 1)
+    ok = [max(score[i], smooth[i]) >= html.LEVEL * level and not n[3] for i, (n, _) in enumerate(leaves)]
+    chain = [leaves[0][1][0]]
+    while chain[-1][0] != "article" and isinstance(chain[-1][2], list):
+        heavy = [c for c in chain[-1][2] if (isinstance(c[2], list) and any(weight(x) > 0 for x in c[2]) or c[0] == "article") and weight(c) > html.MOST * weight(chain[-1])]
+        if not heavy:
+            break
+        chain.append(heavy[0])
+    while len(chain) > 2 and chain[-1][0] != "article":
+        beside = set(under(chain[-2])) - set(under(chain[-1]))
+        if not all(ok[i] and not any(map(marked, leaves[i][1])) for i in beside):
+            break
+        chain.pop()
+    node = chain[-1]
+    if node[0] == "body":
+        return "\n".join(n[2] for i, (n, h) in enumerate(leaves) if ok[i] and not any(map(marked, h)))
+    below = lambda h: h[next(k for k, x in enumerate(h) if x is node) + 1 :]
+    return "\n".join(n[2] for n, h in (leaves[i] for i in under(node)) if not any(map(marked, below(h))))
+
+
+def test_pages_by_brute_force():
+    tree, decided = _Tree(np.random.default_rng(3)), 0
+    for _ in range(300):
+        top = [tree.node(4) for _ in range(4)]
+        source = f"<html><body>{''.join(map(tree.source, top))}</body></html>"
+        got = html.main_text(source)
+        assert got == _plain_main_text(top)
+        page = html._Page(source)
+        decided += got != "\n".join(b[0] for b in page.blocks)
+    assert decided > 200
