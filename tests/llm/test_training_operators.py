@@ -402,3 +402,37 @@ def test_minhash_two_clusters(spark):
         want = _components_of({i: _two_shingles(t) for i, t in rows})
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
         assert got == want
+
+
+def test_vectors_of_extreme_length(spark):
+    """Lengths whose squares leave the doubles change nothing: orthogonal vectors don't link, parallel ones do."""
+    data = [(0, [1e-200, 0.0]), (1, [0.0, 1e-200]), (2, [1e200, 1e200]), (3, [2e-310, 2e-310]), (4, [-1e200, 1e200]), (5, [3e150, 3e150])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicate_vectors(df).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (2, 2), 3: (2, 2), 4: (0, 4), 5: (2, 2)}
+
+
+def test_planted_links_of_vectors(spark, monkeypatch):
+    """Graded cosines in single precision, labels, a crowded place and several blocks a list, against all pairs."""
+    monkeypatch.setattr(pivots, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 32))
+    r = rng.normal(size=x.shape)
+    r -= (r * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    r *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(r, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 1, size=(len(x), 1))
+    crowd = x[0] + 0.25 * rng.normal(size=(300, 32))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * r, crowd]).astype(np.float32)
+    labels = np.concatenate([np.arange(1200) % 3, np.arange(1200) % 3, np.zeros(300, int)])
+    order = rng.permutation(len(x))
+    x, labels = x[order], labels[order]
+    df = spark.createDataFrame([(i, v.tolist(), int(b)) for i, (v, b) in enumerate(zip(x, labels, strict=True))], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r for r in pivots.near_duplicate_vectors(df).collect()}
+    x = x.astype(np.float64)
+    norm = np.sqrt((x * x).sum(1))
+    near = (x @ x.T >= 0.93 * np.outer(norm, norm)) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and n.sum() >= 0.98 * near.sum() and near.sum(1).max() > 200
+    want = components(len(x), zip(*np.nonzero(near), strict=True))
+    assert np.mean([got[i].component_id == want[i] for i in range(len(x))]) >= 0.98
