@@ -1,7 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference points (pivots) come from a bounded sample, one for every ``ROWS_PER_PIVOT`` vectors, so that lists keep their
-length as the table grows. A vector is described by its ``NEAREST`` pivots in order of similarity and enters the
+Reference points (pivots) come from a bounded sample. Their number follows the largest label, so that lists keep a length
+of about ``LIST`` as the table grows. A vector is described by its ``NEAREST`` pivots in order of similarity and enters the
 inverted lists of all of them but the last by number: two vectors that share ``SHARED`` pivots meet in another one's
 list. A list is compared block by block; pairs count in the list of their first shared pivot only and are verified by
 cosine in double precision, on vectors scaled by powers of two, which no length over- or underflows. A block reports
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tesserae.llm.components import components
 from tesserae.llm.store import materialize, table
 
-#: Fewest and most pivots, vectors a pivot, sampled rows a pivot, and the cosine from which a row is too close to another pivot.
-PIVOTS, ROWS_PER_PIVOT, SAMPLED, APART = (256, 8192), 16, 2, 0.8
+#: Fewest and most pivots, vectors of a list, sampled rows a pivot, and the cosine from which a row is too close to another pivot.
+PIVOTS, LIST, SAMPLED, APART = (256, 8192), 128, 2, 0.8
 NEAREST, SHARED = 8, 2
 COSINE = 0.93
 BLOCK, TILE = 1024, 512
@@ -39,10 +39,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(classes: DataFrame, most: tuple[int, int] = PIVOTS) -> dict[int, np.ndarray]:
-    """Per dimension, unit vectors of a hash-ordered sample, none close to another: one for ``ROWS_PER_PIVOT`` rows within the bounds ``most``."""
+    """Per dimension, unit vectors of a hash-ordered sample, none close to another: as many as give lists of ``LIST`` rows, within the bounds ``most``."""
     out = {}
-    for d, n in classes.groupBy("dim").count().toLocalIterator():
-        count = min(max(n // ROWS_PER_PIVOT, most[0]), most[1])
+    for d, n in classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count")).toLocalIterator():
+        count = min(max(NEAREST * n // LIST, most[0]), most[1])
         rows = classes.filter(F.col("dim") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLED * count).select("v").toLocalIterator()
         have, k = np.zeros((count, d)), 0
         for x in _unit(np.array([v for (v,) in rows], np.float64)):
