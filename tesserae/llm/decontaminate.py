@@ -2,8 +2,10 @@
 
 Each task sorts the word suffixes of its documents (a shard of at most ``SHARD_WORDS`` words, or one longer document)
 by prefix doubling, then binary-searches every suffix of every benchmark item in that array: that gives the longest
-verbatim match of each item suffix with its place, and the range of places of each window. Documents never move; the
-benchmark travels in blocks of bounded size.
+verbatim match of each item suffix, and the range of places of each window. Equal windows have one range, so that texts
+and items which repeat themselves cost no more than their places. The longest match at a place of a document is found
+the other way round, in a suffix array of the items. Documents never move; the benchmark travels in blocks of bounded
+size, of which a task holds one at a time.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ class Items:
         k = np.minimum(size, window)
         self.need = np.where(self.left >= k[self.item], k[self.item], 0)
         self.longest = int(size.max(initial=0))
+        # the items one after the other with a zero behind each, and their suffix array
+        ends = np.cumsum(size)
+        self.flat = np.insert(self.words[:-1], ends, 0) if len(size) else np.zeros(0, np.uint64)
+        self.flat_item = np.repeat(np.arange(len(ids)), size + 1)
+        self.order = suffix_array(self.flat, self.longest + 1)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -76,14 +83,14 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common(text: np.ndarray, pos: np.ndarray, items: Items, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Words that the suffixes of ``text`` at pos and of the items at q have in common, at most ``most``."""
+def common(text: np.ndarray, pos: np.ndarray, words: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Words that the suffixes of ``text`` at pos and of ``words`` at q have in common, at most ``most``."""
     out = np.zeros(len(pos), np.int64)
     live = np.flatnonzero(most > 0)
     d = 0
     while len(live):
         at = pos[live] + d
-        same = (at < len(text)) & (text[np.minimum(at, len(text) - 1)] == items.words[q[live] + d])
+        same = (at < len(text)) & (text[np.minimum(at, len(text) - 1)] == words[q[live] + d])
         live = live[same]
         d += 1
         out[live] = d
@@ -91,8 +98,8 @@ def common(text: np.ndarray, pos: np.ndarray, items: Items, q: np.ndarray, most:
     return out
 
 
-def search(text: np.ndarray, order: np.ndarray, items: Items, q: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
-    """First place in ``order`` whose suffix is not below (``after``: is above) the first ``length`` words of item suffix q."""
+def search(text: np.ndarray, order: np.ndarray, words: np.ndarray, q: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
+    """First place in ``order`` whose suffix is not below (``after``: is above) the ``length`` words of ``words`` at q."""
     lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(order), np.int64)
     while True:
         live = np.flatnonzero(lo < hi)
@@ -100,29 +107,36 @@ def search(text: np.ndarray, order: np.ndarray, items: Items, q: np.ndarray, len
             return lo
         mid = (lo[live] + hi[live]) // 2
         pos, ql, most = order[mid], q[live], length[live]
-        d = common(text, pos, items, ql, most)
+        d = common(text, pos, words, ql, most)
         whole, at = d == most, pos + d
         ended = at >= len(text)
-        below = ended | (text[np.minimum(at, len(text) - 1)] < items.words[np.minimum(ql + d, len(items.words) - 1)])
+        below = ended | (text[np.minimum(at, len(text) - 1)] < words[np.minimum(ql + d, len(words) - 1)])
         right = np.where(whole, after, below)
         lo[live] = np.where(right, mid + 1, lo[live])
         hi[live] = np.where(right, hi[live], mid)
 
 
-def shard_matches(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in text, position in items, common words) of every place of every window of the items."""
-    q = np.arange(len(items.item))
-    spot = search(text, order, items, q, items.left, False)
-    longest = np.zeros(len(q), np.int64)
+def longest_matches(text: np.ndarray, order: np.ndarray, words: np.ndarray, q: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that ``words`` at q has in common with the suffix of ``text`` that shares the most, at most ``most``, and where that is."""
+    spot = search(text, order, words, q, most, False)
+    best, where = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
     for near in (spot - 1, spot):
         ok = (near >= 0) & (near < len(order))
-        longest[ok] = np.maximum(longest[ok], common(text, order[near[ok]], items, q[ok], items.left[ok]))
+        d, at = np.zeros(len(q), np.int64), order[np.clip(near, 0, max(0, len(order) - 1))] if len(order) else near
+        d[ok] = common(text, at[ok], words, q[ok], most[ok])
+        where = np.where(d > best, at, where)
+        best = np.maximum(best, d)
+    return best, where
+
+
+def window_ranges(text: np.ndarray, order: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end place in ``order`` and words of each different window that occurs; the item and the range of each window."""
+    q = np.arange(len(items.item))
+    longest, _ = longest_matches(text, order, items.words, q, items.left)
     q = q[(items.need > 0) & (longest >= items.need)]
-    lo, hi = (search(text, order, items, q, items.need[q], after) for after in (False, True))
-    count = hi - lo
-    which = np.repeat(np.arange(len(q)), count)
-    pos = order[np.repeat(lo, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
-    return pos, q[which], common(text, pos, items, q[which], items.left[q[which]])
+    lo, hi = (search(text, order, items.words, q, items.need[q], after) for after in (False, True))
+    _, first, which = np.unique(lo * (items.longest + 1) + items.need[q], return_index=True, return_inverse=True)
+    return lo[first], hi[first], items.need[q][first], items.item[q], which
 
 
 def _scan(blocks: list, window: int, keep_clean: str | None = None):
@@ -140,28 +154,42 @@ def _scan(blocks: list, window: int, keep_clean: str | None = None):
         text[inner] = np.concatenate(words)
         edge = np.zeros(len(text) + 1, np.int64)
         found: list[set[str]] = [set() for _ in range(n)]
-        best, best_item, best_at = np.zeros(n, np.int64), [None] * n, np.zeros(n, np.int64)
+        best, best_item, best_at = np.zeros(n, np.int64), np.full(n, None, object), np.zeros(n, np.int64)
         order = depth = None
         for block in blocks:
             items: Items = block.value
-            if not items.longest:
-                continue
             if order is None or depth < items.longest:
                 depth = items.longest
-                order = suffix_array(text, depth)
-            pos, q, length = shard_matches(text, order, items)
-            np.add.at(edge, pos, 1)
-            np.add.at(edge, pos + items.need[q], -1)
-            for code in np.unique(doc[pos] * len(items.ids) + items.item[q]).tolist():
-                found[code // len(items.ids)].add(items.ids[code % len(items.ids)])
-            for i in np.lexsort((pos, -length, doc[pos])).tolist() if len(pos) else ():
-                d = doc[pos[i]]
-                if length[i] > best[d]:
-                    best[d], best_item[d], best_at[d] = length[i], items.ids[items.item[q[i]]], pos[i] - starts[d]
+                order = suffix_array(text, depth) if depth else None
+            if items.longest:
+                lo, hi, need, item, which = window_ranges(text, order, items)
+                count = hi - lo
+                pos = order[np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
+                of = np.repeat(np.arange(len(lo)), count)
+                np.add.at(edge, pos, 1)
+                np.add.at(edge, pos + need[of], -1)
+                # documents of each range, and items of each range: every pair is a row of the result
+                pairs = np.unique(of * n + doc[pos])
+                by = np.argsort(which, kind="stable")
+                named, cuts = item[by], np.searchsorted(which[by], np.arange(len(lo) + 1))
+                for r, cut in zip(range(len(lo)), np.split(pairs, np.searchsorted(pairs, np.arange(1, len(lo)) * n)) if len(lo) else [], strict=True):
+                    names = {items.ids[i] for i in np.unique(named[cuts[r] : cuts[r + 1]])}
+                    for d in (cut - r * n).tolist():
+                        found[d] |= names
+                pos = np.unique(pos)
+                length, where = longest_matches(items.flat, items.order, text, pos, (starts + size)[doc[pos]] - pos)
+                first = np.lexsort((pos, -length, doc[pos]))
+                d, at = np.unique(doc[pos][first], return_index=True)
+                at = first[at]
+                more = length[at] > best[d]
+                d, at = d[more], at[more]
+                best[d], best_at[d] = length[at], pos[at] - starts[d]
+                best_item[d] = [items.ids[i] for i in items.flat_item[where[at]]]
+            block.__dict__.pop("_value", None)  # a worker keeps what it has read of a broadcast otherwise
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
         lists = [sorted(x) for x in found]
         return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays(ids), pa.array(size), pa.array(hit[starts + size] - hit[starts]), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, schema.field("items").type), pa.array(best), pa.array(best_item, pa.string()), pa.array(best_at, mask=best == 0)], schema=schema
+            [pa.concat_arrays(ids), pa.array(size), pa.array(hit[starts + size] - hit[starts]), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, schema.field("items").type), pa.array(best), pa.array(best_item.tolist(), pa.string()), pa.array(best_at, mask=best == 0)], schema=schema
         )
 
     def clean(parts: list[pa.RecordBatch], words: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +236,8 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_co
 
     Words are runs of 0-9, A-Z (lower-cased), a-z and characters beyond ASCII. A word is hit if an occurrence of a
     window of ``window`` item words (all words of a shorter item) covers it. Null texts have no words; items without
-    id or words are ignored; rows of items that share an id are one item. An empty table of either gives no hits.
+    id or words are ignored; rows of items that share an id are one item. An empty table of either gives no hits. Of
+    matches of equal length the first in the document counts as the longest. Repeated rows give equal rows.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = _item_blocks(tests, item_id, item_text, window)

@@ -21,6 +21,11 @@ SEED = "mix-1"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _spread(doc_id):
+    """16 bits of a multiplied id, so that ids with a common factor fall into all slices."""
+    return F.shiftright(F.pmod(F.pmod(doc_id, F.lit(1 << 31)) * 2654435761, F.lit(1 << 32)), 16)
+
+
 def _size_class(size):
     """Sizes below 16 as they are, larger ones in sixteenths of a power of two."""
     digits = F.length(F.bin(size))
@@ -51,15 +56,18 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 
 def systematic_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Rows (doc_id, source, size) with source_size, target and copies."""
+    """Rows (doc_id, source, size, mark) with source_size, target and copies; ``mark`` spreads rows without an id over slices."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     slices = (totals.agg(F.sum("n")).first()[0] or 0) // SLICE_ROWS + 1
     goal = targets(totals, weights, most)
-    cell = sized.withColumn("class", _size_class(F.col("size"))).withColumn("slice", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(slices)))
+    cell = sized.withColumn("class", _size_class(F.col("size"))).withColumn("slice", F.pmod(F.coalesce(_spread(F.col("doc_id")), F.col("mark")), F.lit(slices)))
     key = ["source", "class", "slice"]
     counts = cell.groupBy(*key).agg(F.count("*").alias("in_cell"))
-    before = F.sum("in_cell").over(Window.partitionBy("source").orderBy("class", "slice")) - F.col("in_cell")
-    offsets = counts.select(*key, before.alias("before"))
+    # two levels of running counts: over a source's classes, of which there are a few hundred, and over a class's slices
+    up = counts.groupBy("source", "class").agg(F.sum("in_cell").alias("in_class"))
+    up = up.select(F.col("source").alias("s"), F.col("class").alias("c"), (F.sum("in_class").over(Window.partitionBy("source").orderBy("class")) - F.col("in_class")).alias("below"))
+    inner = F.sum("in_cell").over(Window.partitionBy("source", "class").orderBy("slice")) - F.col("in_cell")
+    offsets = counts.withColumn("inner", inner).join(up, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).select(*key, (F.col("inner") + F.col("below")).alias("before"))
     tag = F.md5(F.concat(F.lit(seed), F.coalesce(offsets["source"], F.lit("\x00"))).cast("binary"))
     u = F.conv(F.substring(tag, 1, 8), 16, 10).cast("double") / 4294967296.0
     start = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), "before", "source_size", "target", u.alias("u"))
@@ -72,7 +80,7 @@ def systematic_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
@@ -86,12 +94,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` once per copy taken, with ``copy`` from 1 up. Rows of equal id (without an id: of equal text) get equal copies."""
+    """``docs`` once per copy taken, with ``copy`` from 1 up (a column of that name is replaced).
+
+    Rows of equal id (without an id: of equal text) get equal copies, the mean of what sampling gives them. An empty
+    table and texts without words are as in ``mix``.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    plain = docs.drop("copy", "_key").withColumn("_key", key)
-    sized = materialize(sizes(plain.withColumn("doc_id", F.col("_key"))))
-    taken = systematic_copies(sized, weights, most, seed).filter("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.min("copies").alias("_copies"))
-    return plain.join(taken, "_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_key", "_copies")
+    plain = docs.drop("copy").withColumn("_mix_key", key)
+    sized = materialize(sizes(plain.withColumn("doc_id", F.col("_mix_key"))))
+    taken = systematic_copies(sized, weights, most, seed).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.round(F.avg("copies")).cast("long").alias("_mix_copies")).filter("_mix_copies > 0")
+    return plain.join(taken, "_mix_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).drop("_mix_key", "_mix_copies")
 
 
 def op3_systematic_mix(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +120,7 @@ f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 l AS (SELECT *, CAST(rest AS DOUBLE) / CAST(rest_w AS DOUBLE) AS level FROM f),
 g AS (SELECT source, source_size, coalesce(w * first_value(CASE WHEN cap > w * level THEN level END IGNORE NULLS) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), CAST(cap AS DOUBLE)) AS target,
   CAST(CAST('0x' || substr(md5('{SEED}' || coalesce(source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM l),
-c AS (SELECT *, CASE WHEN size < 16 THEN size ELSE len(bin(size)) * 100 + CAST(floor(size / pow(2.0, greatest(len(bin(size)) - 5, 0))) AS BIGINT) END AS class, doc_id % ((SELECT count(*) FROM d) // {SLICE_ROWS} + 1) AS slice FROM d),
+c AS (SELECT *, CASE WHEN size < 16 THEN size ELSE len(bin(size)) * 100 + CAST(floor(size / pow(2.0, greatest(len(bin(size)) - 5, 0))) AS BIGINT) END AS class, (doc_id % 2147483648 * 2654435761 % 4294967296 >> 16) % ((SELECT count(*) FROM d) // {SLICE_ROWS} + 1) AS slice FROM d),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY class, slice, doc_id, size) AS DOUBLE) AS nth FROM c),
 x AS (SELECT p.doc_id, p.size, g.source_size, g.target, g.u, p.nth, CASE WHEN g.source_size > 0 THEN g.target / CAST(g.source_size AS DOUBLE) ELSE 0.0 END AS rate FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source),
 y AS (SELECT *, least(CAST(floor(u + nth * rate) - floor(u + (nth - 1.0) * rate) AS BIGINT), 3) AS copies FROM x)

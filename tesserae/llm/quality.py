@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from tesserae.llm import kernels as K
 from tesserae.llm.store import table
 
-#: Labelled rows (hash-ordered) that a fit uses at most, and rows in which a feature must occur.
-FIT_ROWS, FIT_DF = 6_000, 4
+#: Labelled rows (hash-ordered) that a fit uses at most, features of each that it uses at most (those of the lowest
+#: hashes; scoring uses all), and rows in which a feature must occur.
+FIT_ROWS, FIT_FEATURES, FIT_DF = 6_000, 16_384, 4
 STEPS, RATE, DECAY = 100, 0.12, 5e-4
 #: Grades: 0 toxic, 1 poor, 2 good. A document is selected if P(grade >= KEEP_GRADE) reaches KEEP_TAIL.
 GRADES, KEEP_GRADE, KEEP_TAIL = 3, 2, 0.5
@@ -125,17 +126,18 @@ def _feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for h, row, n in features(batch.column(2)):
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
-            sets += [np.unique(part).tobytes() for part in np.split(h, np.searchsorted(row, np.arange(1, n)))]
+            sets += [np.unique(part)[:FIT_FEATURES].tobytes() for part in np.split(h, np.searchsorted(row, np.arange(1, n)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "grade", "hashes"])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Fits to at most ``rows`` rated documents: ``ratings`` (doc_id, grade 0..); hash order makes it the same sample each time.
 
-    Rows with a null id, grade or text take no part. Without any rated document every text gets even odds.
+    Rows with a null id, grade or text take no part; of rows that share an id the least text takes part, of ratings the
+    lowest. Without any rated document every text gets even odds.
     """
     rated = ratings.dropna(subset=["doc_id", "grade"]).groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().join(F.broadcast(rated), "doc_id").select(F.col("doc_id").alias("id"), F.col("grade").cast("long").alias("grade"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().join(F.broadcast(rated), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("id"), F.col("grade").cast("long").alias("grade"), "text")
     got = sorted((r["id"], r["grade"], bytes(r["hashes"])) for r in texts.mapInArrow(_feature_sets, "id long, grade long, hashes binary").toLocalIterator())
     return fit_arrays([np.frombuffer(h, np.uint64) for _, _, h in got], np.array([g for _, g, _ in got], np.int64))
 
@@ -153,7 +155,8 @@ def _score(model, keep_tail: float):
 def grade_documents(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
     """``docs`` with expected_grade, p_good and selected. A null or empty text has shape features only.
 
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced. Repeated rows get equal grades; a text of any length is read
+    whole, in chunks.
     """
     plain = docs.drop("expected_grade", "p_good", "selected")
     schema = T.StructType([*plain.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType()), T.StructField("selected", T.BooleanType())])

@@ -35,15 +35,25 @@ EXTRA = {
 KINDS = [*BASE, *EXTRA]
 #: A value that so many owners hold is a copied example.
 COPIED_OWNERS = 3
+#: Matches whose positions are summed in one run; slices of each hash when documents meet its owners.
+RUN, SALT = 256, 16
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,hash:string>>"
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array of int, a run of ``RUN`` at a time: an array that grows by one item is copied each time."""
+    grown = lambda xs, first: F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), first) + x)))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: F.slice(steps, i * RUN + 1, F.lit(RUN)))
+    sums = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(runs, grown(sums, F.lit(0)), lambda r, end: grown(r, end - F.aggregate(r, F.lit(0), lambda acc, x: acc + x))))
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of a kind in code points: gaps between matches and the matches themselves add up to positions."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + s["gap"] + F.length(s["m"]))))
+    ends = _running(F.transform(steps, lambda s: s["gap"] + F.length(s["m"])))
     spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), F.sha2(value(m), 256).alias("hash"), F.length(value(m)).alias("n")))
     kept = F.transform(F.filter(spans, lambda s: s["n"] >= least), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "kind", "end", "hash")]))
     return F.when(text.rlike(pattern), kept).otherwise(F.array()).cast(_SPAN)
@@ -76,7 +86,8 @@ def scan(docs: DataFrame, repo: Column, owner: Column, copied: int = COPIED_OWNE
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.to_json(both)), 256)
     some = found.filter(F.size(both) > 0).withColumn("key", key)
     hits = some.select("key", F.explode(both).alias("s")).select("key", F.col("s.hash").alias("hash")).distinct()
-    live = hits.join(ownership(found).filter(F.col("owners") < copied).select("hash"), "hash").groupBy("key").agg(F.collect_list("hash").alias("live"))
+    rare = ownership(found).filter(F.col("owners") < copied).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    live = hits.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALT))).join(rare, ["hash", "salt"]).groupBy("key").agg(F.collect_list("hash").alias("live"))
     joined = some.join(live, "key", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
     is_live = lambda s: F.array_contains(F.col("live"), s["hash"])
     told = joined.select(

@@ -48,16 +48,19 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", fetched
     """``captures`` with host, n_lists and lists (comma-joined names in order) active for the host at fetch time.
 
     Each (host, day) is judged once, however many captures it has. A null or odd url has no host, and like a capture
-    without a fetch time it is on no list.
+    without a fetch time it is on no list. Repeated captures give equal rows, and an empty table of either gives none on
+    a list. Columns of captures named as the new ones are replaced, all others stay.
     """
-    rows = captures.withColumns({"host": host_of(F.col(url_col))})
-    asked = rows.filter(F.col("host") != "").select(F.col("host").alias("h"), F.col(fetched_col).alias("day")).dropna().distinct()
-    labels = F.split("h", r"\.")
+    rows = captures.drop("host", "n_lists", "lists").withColumn("host", host_of(F.col(url_col)))
+    asked = rows.filter(F.col("host") != "").select(F.col("host").alias("_judged_host"), F.col(fetched_col).alias("_judged_day")).dropna().distinct()
+    labels = F.split("_judged_host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    active = asked.select("h", "day", F.explode(parents).alias("domain")).join(intervals(entries).withColumnRenamed("domain", "d"), F.expr("domain = d and day >= since and (until is null or day < until)"))
-    verdict = active.groupBy("h", "day").agg(F.array_sort(F.collect_set("list")).alias("found"))
-    joined = rows.join(verdict, (F.col("host") == F.col("h")) & (F.col(fetched_col) == F.col("day")), "left").drop("h", "day")
-    return joined.withColumns({"n_lists": F.coalesce(F.size("found"), F.lit(0)).cast("long"), "lists": F.coalesce(F.array_join("found", ","), F.lit(""))}).drop("found")
+    listed = intervals(entries).select("list", F.col("domain").alias("listed"), "since", "until")
+    active = asked.select("_judged_host", "_judged_day", F.explode(parents).alias("domain")).join(listed, F.expr("domain = listed and _judged_day >= since and (until is null or _judged_day < until)"))
+    verdict = active.groupBy("_judged_host", "_judged_day").agg(F.array_sort(F.collect_set("list")).alias("_judged_lists"))
+    joined = rows.join(verdict, (F.col("host") == F.col("_judged_host")) & (F.col(fetched_col) == F.col("_judged_day")), "left")
+    told = joined.withColumns({"n_lists": F.coalesce(F.size("_judged_lists"), F.lit(0)).cast("long"), "lists": F.coalesce(F.array_join("_judged_lists", ","), F.lit(""))})
+    return told.drop("_judged_host", "_judged_day", "_judged_lists")
 
 
 def entry_table(spark: SparkSession, entries=ENTRIES) -> DataFrame:

@@ -67,11 +67,17 @@ def test_suffix_array_finds_every_place(text, item):
     assert sorted(order.tolist()) == list(range(len(words)))
     key = [tuple(words[i : i + len(item)]) for i in order]
     assert key == sorted(key)
-    pos, q, length = decontaminate.shard_matches(words, order, items)
-    want = {(p, i) for i in range(len(item) - k + 1) for p in range(len(text) - k + 1) if text[p : p + k] == item[i : i + k]}
-    assert set(zip(pos.tolist(), q.tolist(), strict=True)) == want
-    for p, i, n in zip(pos, q, length, strict=True):
-        assert text[p : p + n] == item[i : i + n] and (p + n == len(text) or i + n == len(item) or text[p + n] != item[i + n])
+    lo, hi, need, item_of, which = decontaminate.window_ranges(words, order, items)
+    assert (need == k).all() and len(set(zip(lo.tolist(), need.tolist(), strict=True))) == len(lo)
+    want = {(p, tuple(item[i : i + k])) for i in range(len(item) - k + 1) for p in range(len(text) - k + 1) if text[p : p + k] == item[i : i + k]}
+    got = [(int(order[x]), tuple(words[order[x] : order[x] + k].tolist())) for a, b in zip(lo, hi, strict=True) for x in range(a, b)]
+    assert set(got) == want and len(got) == len(want)
+    assert len(which) == sum(any(text[p : p + k] == item[i : i + k] for p in range(len(text) - k + 1)) for i in range(len(item) - k + 1)) == len(item_of)
+    q = np.arange(len(item))
+    best, where = decontaminate.longest_matches(words, order, items.words, q, items.left)
+    for i, d, at in zip(q, best, where, strict=True):
+        lengths = [next(n for n in range(len(item) - i + 1) if n == len(item) - i or p + n == len(text) or text[p + n] != item[i + n]) for p in range(len(text))]
+        assert d == max(lengths, default=0) and (d == 0 or lengths[at] == d)
 
 
 PAGES = {

@@ -3,6 +3,7 @@
 import importlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -436,3 +437,50 @@ def test_planted_links_of_vectors(spark, monkeypatch):
     assert (n <= near.sum(1)).all() and n.sum() >= 0.98 * near.sum() and near.sum(1).max() > 200
     want = components(len(x), zip(*np.nonzero(near), strict=True))
     assert np.mean([got[i].component_id == want[i] for i in range(len(x))]) >= 0.98
+
+
+def test_contamination_of_repetitive_texts(spark):
+    """An item of one word a thousand times against texts of it costs places, not places times windows."""
+    items = spark.createDataFrame([("r", "the " * 1000), ("s", "the " * 11 + "end")], "item_id string, text string")
+    docs = documents(spark, ["the " * 60_000, "x " + "the " * 12 + "end y", "the the"])
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[0].n_hit, got[0].longest_match, got[0].longest_item, got[0].longest_at) == (60_000, 1000, "r", 0)
+    assert (got[1].n_hit, got[1]["items"], got[1].longest_match, got[1].longest_item, got[1].longest_at) == (13, ["r", "s"], 12, "r", 1)
+    assert got[2].n_hit == 0 and got[2].longest_match == 0
+
+
+def test_captures_with_clashing_names(spark):
+    captures = spark.createDataFrame([("http://bad.org/", "2024-01-12", 1, "d", "l", "x")], "url string, fetched string, h int, day string, list string, found string").withColumn("fetched", F.to_date("fetched"))
+    entries = urls.entry_table(spark, [("l", "bad.org", "add", "2024-01-10")])
+    got = urls.judge(captures, entries).collect()[0]
+    assert (got.host, got.n_lists, got.lists, got.h, got.day, got["list"], got.found) == ("bad.org", 1, "l", 1, "d", "l", "x")
+
+
+def test_positions_of_many_matches(spark):
+    n = 3000
+    docs = documents(spark, ["é " + "token=abcdefgh1 " * n])
+    base = secrets.scan(docs, F.lit("r"), F.lit("o")).collect()[0].base
+    assert [(s.start, s.end) for s in base] == [(2 + 16 * i, 17 + 16 * i) for i in range(n)]
+
+
+def test_mix_of_repeated_rows_and_names(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "d e", "s"), (None, None, None), (2, "", "t")] + [(i, "w " * (i % 7), "st"[i % 2]) for i in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"copy": F.lit("mine"), "_key": F.lit(1), "_copies": F.lit(2), "mark": F.lit(3)})
+    got = mixing.mixed(docs).collect()
+    assert {c for c in docs.columns} == set(got[0].asDict())
+    taken, goal = Counter(), {r.source: r.target for r in mixing.mix(docs).select("source", "target").collect()} if "source" in mixing.mix(docs).columns else {}
+    for r in got:
+        taken[r.source] += len((r.text or "").split())
+    for source, target in goal.items():
+        assert abs(taken[source] - target) <= 0.05 * target + 10
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_fit_takes_each_id_once(spark):
+    docs = documents(spark, ["good text here"] * 50 + ["bad words there"] * 3, [1] * 50 + [2, 3, 4])
+    labels = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 1)], "doc_id long, grade int")
+    once = documents(spark, ["good text here"] + ["bad words there"] * 3, [1, 2, 3, 4])
+    a, b = (quality.fit(d, labels) for d in (docs, once))
+    assert (a.keys == b.keys).all() and np.allclose(a.weights, b.weights) and np.allclose(a.cuts, b.cuts)
