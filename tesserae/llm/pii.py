@@ -40,11 +40,21 @@ GIVEN = {
 }
 #: Fixed list: titles before a name, by gender.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Herrn", "M", "Monsieur", "Señor", "Sr", "Don", "Господин"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Señora", "Sra", "Srta", "Doña", "Госпожа"]}
+#: Fixed list: words after which two capitalised words or more are a name.
+CUES = frozenset("Attn Contact Cc Dear Name Regards Signed Sincerely Contacto Estimado Estimada Cher Chère Kontakt Liebe Lieber Имя".split())
+#: Fixed list: words that join one name to the next.
+JOINS = ("and", "or", "und", "oder", "et", "ou", "y", "o", "и", "или", "&")
+#: Fixed list: endings of family names, for a woman and for a man, and last letters that mark women's names. They stay, and
+#: what stands before them gets one surrogate for both.
+ENDINGS = (("ская", "ский"), ("цкая", "цкий"), ("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ына", "ын"), ("skaya", "sky"), ("ova", "ov"), ("eva", "ev"), ("dottir", "son"), ("dóttir", "son"), ("a",), ("а",), ("я",))
 #: Capitalised words that end a name; none is a surname in common use.
 ENDS = frozenset("And At By For From Had Has Of Said That The This Was Were When Which Who With".split())
 _GIVEN = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "áàâäãåéèêëíìîïóòôöõúùûüñçßæøýÿ", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÆØÝ"]
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+_VOWELS = frozenset("aeiouyáàâäãåéèêëíìîïóòôöõúùûüæøýÿаеёиоуыэюяαεηιουω")
+#: In names vowels move among vowels and consonants among consonants; signs without a sound stay.
+_SOUND = {c: (part, i) for a in _ALPHABETS[1:] for vowel in (True, False) for part in ["".join(c for c in a if (c.lower() in _VOWELS) is vowel and c.lower() not in "ьъ")] for i, c in enumerate(part)}
 
 _CAP = r"[^\W\d_a-zß-öø-ÿа-яёα-ώ]"
 _NAME = rf"{_CAP}[^\W\d_]+(?:['’-]{_CAP}[^\W\d_]+)*"
@@ -91,9 +101,9 @@ def permute(value: int, size: int, key: bytes, tag: str, step: int = 1) -> int:
     return network((network(value, True) + step) % size, False)
 
 
-def same_format(text: str, key: bytes, tag: str, step: int = 1) -> str:
+def same_format(text: str, key: bytes, tag: str, step: int = 1, places: dict[str, tuple[str, int]] = _PLACE) -> str:
     """Letters move within their script and case, digits among digits, all else stays."""
-    spots = [(i, *_PLACE[c]) for i, c in enumerate(text) if c in _PLACE]
+    spots = [(i, *places[c]) for i, c in enumerate(text) if c in places]
     value, size = 0, 1
     for _, alphabet, place in spots:
         value, size = value * len(alphabet) + place, size * len(alphabet)
@@ -124,8 +134,18 @@ def _name(text: str, key: bytes, step: int) -> str:
     if text in _GIVEN:
         group, i = _GIVEN[text]
         return GIVEN[group][permute(i, len(GIVEN[group]), key, f"given:{group}", step)]
-    out = same_format(text, key, "surname", step)
-    return same_format(out, key, "surname", step) if out in _GIVEN else out
+    pair, end = ending(text)
+    stem = text[: len(text) - len(end)]
+    out = stem
+    while True:  # walks on from what is another kind of name, so that names of a kind are permuted
+        out = same_format(out, key, f"name:{pair}", step, _SOUND)
+        if out == stem or out + end not in _GIVEN and ending(out + end) == (pair, end):
+            return out + end
+
+
+def ending(word: str) -> tuple[int, str]:
+    """The number of the longest of ENDINGS that a name has, and its form; -1 and an empty one if there is none."""
+    return max(((i, e) for i, pair in enumerate(ENDINGS) for e in pair if word.endswith(e) and len(word) > len(e) + 1), key=lambda x: (len(x[1]), -x[0]), default=(-1, ""))
 
 
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
@@ -165,10 +185,11 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and apart from each other.
 
-    Names come word by word: a run of capitalised words parted by single spaces is a name from its title or else from
-    its first given name to its end. A lower-case word, a mark or a word of ``ENDS`` ends it.
+    Names come word by word: a run of capitalised words parted by single spaces is a name from its title, its cue or else
+    from its first given name to its end; a run of two words or more that an e-mail address of the text spells, or that a
+    word of ``JOINS`` ties to a name before it, is one as well. A lower-case word, a mark or a word of ``ENDS`` ends it.
     """
-    found = []
+    found, spelled = [], set()
     at = text.find("@")
     while at >= 0:
         local = _LOCAL.search(text, max(0, at - 64), at)
@@ -176,20 +197,33 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         if m:
             start = m.start() + len(m[0]) - len(m[0].lstrip(".%+-"))
             found.append((start, m.end(), "email"))
+            parts = [x for x in re.split(r"[\W\d_]+", text[start:at].lower()) if len(x) > 1]
+            spelled.update(zip(parts, parts[1:], strict=False))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     for m in _NUMERIC.finditer(text):
         found.append((m.start(), m.end(), m.lastgroup))
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if int("".join(str(int(c, 36)) for c in (m[0][4:] + m[0][:4]).replace(" ", ""))) % 97 == 1]
-    known = set()
+    known, last = set(), -1  # last: the end of the last name
     for m in _NAMES.finditer(text):
         words = [(w.start() + m.start(), w.end() + m.start(), w[0]) for w in re.finditer(r"[^ ]+", m[0])]
-        titled = words[0][2].rstrip(".") in _TITLED
-        first = 1 if titled else next((i for i, (_, _, w) in enumerate(words) if w in _GIVEN), len(words))
+        plain = [w.lower() for _, _, w in words]
+        before = text[max(0, m.start() - 16) : m.start()]
+        cue = re.search(r"(\w+)[:,]?\s$", before)
+        if words[0][2].rstrip(".") in _TITLED:
+            first = 1
+        elif words[0][2] in CUES and len(words) > 2:
+            first = 1
+        elif cue and cue[1] in CUES or 0 <= last < m.start() and text[last : m.start()].strip() in JOINS:
+            first = 0
+        else:
+            spelt = (i for i, pair in enumerate(zip(plain, plain[1:], strict=False)) if pair in spelled or pair[::-1] in spelled)
+            first = next((i for i, (_, _, w) in enumerate(words) if w in _GIVEN), next(spelt, len(words)))
         for s, e, w in words[first:]:
             if w in ENDS:
                 break
             known.add(w)
             found.append((s, e, "name"))
+            last = e
     if known:
         again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)")
         found += [(m.start(), m.end(), "name") for m in again.finditer(text)]
@@ -308,11 +342,11 @@ def _rewritten(key: bytes, moved, column: str, count: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            tries = batch.schema.get_field_index("_moved")
+            tries = batch.schema.get_field_index("_pii_moved")
             own = batch.column(tries).to_pylist() if tries >= 0 else [moved.value] * batch.num_rows
             done = [rewrite(t.as_py(), key, m if tries < 0 else {(x["kind"], x["value"]): x["attempt"] for x in m or ()}) for t, m in zip(batch.column(at), own, strict=True)]
             columns = [c for i, c in enumerate(batch.columns) if i != tries]
-            names = [n for n in batch.schema.names if n != "_moved"]
+            names = [n for n in batch.schema.names if n != "_pii_moved"]
             columns[names.index(column)] = pa.array([t for t, _ in done], pa.string())
             if count:
                 columns, names = [*columns, pa.array([n for _, n in done], pa.int64())], [*names, "n_entities"]
@@ -322,16 +356,20 @@ def _rewritten(key: bytes, moved, column: str, count: bool):
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text", count: bool = True) -> DataFrame:
-    """``docs`` with surrogates in ``text_col``, and with ``count`` n_entities (a column of that name is replaced). Null and empty texts stay."""
-    plain = docs.drop("n_entities", "_moved") if count else docs
+    """``docs`` with surrogates in ``text_col``, and with ``count`` n_entities (a column of that name is replaced).
+
+    Null and empty texts stay, an empty table stays empty, and repeated rows are rewritten alike. A text of any length is
+    read whole. All other columns stay as they are.
+    """
+    plain = docs.drop("n_entities") if count else docs
     schema = T.StructType([*plain.schema.fields, *([T.StructField("n_entities", T.LongType())] if count else [])])
     moved = materialize(moved_entities(plain, key, text_col))
     if moved.count() <= MOST_MOVED:
         few = {(r["kind"], r["value"]): r["attempt"] for r in moved.toLocalIterator()}
         return plain.mapInArrow(_rewritten(key, docs.sparkSession.sparkContext.broadcast(few), text_col, count), schema)
-    mentions = plain.select(F.xxhash64(text_col).alias("_text"), text_col).dropDuplicates(["_text"]).mapInArrow(_mentions(text_col), "_text long, kind string, value string")
-    held = mentions.join(moved, ["kind", "value"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_moved"))
-    joined = plain.withColumn("_text", F.xxhash64(text_col)).join(held, "_text", "left").drop("_text")
+    mentions = plain.select(F.xxhash64(text_col).alias("_pii_text"), text_col).dropDuplicates(["_pii_text"]).mapInArrow(_mentions(text_col), "_pii_text long, kind string, value string")
+    held = mentions.join(moved, ["kind", "value"]).groupBy("_pii_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_pii_moved"))
+    joined = plain.withColumn("_pii_text", F.xxhash64(text_col)).join(held, "_pii_text", "left").drop("_pii_text")
     return joined.mapInArrow(_rewritten(key, None, text_col, count), schema)
 
 
@@ -339,7 +377,7 @@ def _mentions(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(h.as_py(), k, canonical(k, t[s:e])) for h, t in ((h, c.as_py() or "") for h, c in zip(batch.column(0), batch.column(1), strict=True)) for s, e, k in detect(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_text", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_pii_text", "kind", "value"])
 
     return run
 

@@ -370,3 +370,72 @@ def test_pages_by_brute_force():
         page = html._Page(source)
         decided += got != "\n".join(b[0] for b in page.blocks)
     assert decided > 200
+
+
+def _luhn_ok(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def test_planted_entities_by_their_own_rules():
+    """Texts are built around planted values; only those change, alike everywhere, each into another valid value of its type."""
+    rng = np.random.default_rng(4)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda n: "".join(rng.choice(list("bcdfglmnprst"), n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + str(c) for c in range(10) if _luhn_ok(body + str(c)))
+
+    def iban():
+        body = digits(18)
+        return next(f"DE{c:02d}{body}" for c in range(2, 99) if int(body + "1314" + f"{c:02d}") % 97 == 1)
+
+    cap = lambda w: w[0].upper() + w[1:]
+    makers = {
+        "mail": (lambda: f"{word(6)}.{word(5)}@{word(7)}.org", r"[a-z]{6}\.[a-z]{5}@[a-z]{7}\.org"),
+        "ip": (lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)), r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}"),
+        "ssn": (lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", r"\d{3}-\d{2}-\d{4}"),
+        "phone": (lambda: f"+44 {digits(4)} {digits(6)}"[:14], r"\+44 \d{4} \d+"),
+        "card": (card, r"\d{16}"),
+        "iban": (iban, r"DE\d{20}"),
+        "name": (lambda: f"{cap(word(5))} {cap(word(7))}", r"[A-Z][a-z]{4} [A-Z][a-z]{6}"),
+    }
+    for kind, (make, shape) in makers.items():
+        values = list({make() for _ in range(40)})
+        lead = "Contact " if kind == "name" else "see "
+        texts = [f"{lead}{values[i]} about it; then {lead.lower() if kind != 'name' else lead}{values[j]}, please." for i in range(len(values)) for j in (i, (i * 7 + 1) % len(values))]
+        new: dict[str, set] = {}
+        for text, (i, j) in zip(texts, [(i, j) for i in range(len(values)) for j in (i, (i * 7 + 1) % len(values))], strict=True):
+            out, n = pii.rewrite(text)
+            head, tail = text.split(values[i], 1)[0], text.rsplit(values[j], 1)[1]
+            assert out.startswith(head) and out.endswith(tail) and n >= 2, (kind, text, out)
+            middle = text[len(head) + len(values[i]) : len(text) - len(tail) - len(values[j])]
+            a, b = out[len(head) : len(out) - len(tail)].split(middle)
+            new.setdefault(values[i], set()).add(a)
+            new.setdefault(values[j], set()).add(b)
+        assert all(len(x) == 1 for x in new.values()), kind  # one surrogate each
+        assert len({next(iter(x)) for x in new.values()}) == len(values), kind  # different ones
+        for old, x in new.items():
+            got = next(iter(x))
+            assert re.fullmatch(shape, got) and got != old, (kind, old, got)
+            assert kind != "card" or _luhn_ok(got)
+            assert kind != "iban" or int(got[4:] + "1314" + got[2:4]) % 97 == 1
+
+
+def test_names_beyond_the_lists():
+    found = lambda text: [text[a:b] for a, b, k in pii.detect(text) if k == "name"]
+    assert found("Contact Wei Zhang or Priya Natarajan for more.") == ["Wei", "Zhang", "Priya", "Natarajan"]
+    assert found("Write to wei.zhang@ab.org; Wei Zhang answers. The Big Day came.") == ["Wei", "Zhang"]
+    assert found("The Big Day came. Contact us today. Dear Customer,") == []
+    woman, man = (pii.surrogate("name", x) for x in ("Петрова", "Петров"))
+    assert woman != "Петрова" and woman == man + "а" and man.endswith("ов")
+    assert pii.surrogate("name", "Светлана") in pii.GIVEN["cyrillic", "f"]
+    names = [a + b + c + d + e for a in "БВГД" for b in "аеио" for c in "кл" for d in ("ов", "ова", "ин", "") for e in ("", "а")]
+    names = [x for x in dict.fromkeys(names) if x not in pii._GIVEN]
+    got = [pii.surrogate("name", x) for x in names]
+    assert len(set(got)) == len(names) and all(pii.ending(a) == pii.ending(b) and a != b for a, b in zip(names, got, strict=True))
+    assert all((c.lower() in pii._VOWELS) == (d.lower() in pii._VOWELS) for a, b in zip(names, got, strict=True) for c, d in zip(a, b, strict=True))
