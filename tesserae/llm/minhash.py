@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import kernels as K
 from tesserae.llm.components import components
-from tesserae.llm.store import materialize, table
+from tesserae.llm.store import drop, materialize, table
 
 SIDE, ROWS = 12, 3
 _BANDED = 2 * SIDE * ROWS
@@ -283,11 +283,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     other = off(followers, components(stars))
     stars = stars.unionByName(agreeing(other.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
     family = components(stars)
-    cells = off(other.filter("size > 2"), family).select("cell").distinct()
-    rest = buckets.join(cells, "cell", "left_semi").join(family.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")).join(sketches, "id")
+    cells = off(other.filter("size > 2"), family)
+    rest = buckets.join(cells.select("cell").distinct(), "cell", "left_semi").join(family.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")).join(sketches, "id")
     wider = materialize(_block_pairs(rest, "cell", "size").mapInArrow(_families, "a long, b long").distinct())
     if not wider.isEmpty():
         family = components(stars.select("a", "b").unionByName(wider))
+    for done in (buckets, other, cells, wider):
+        drop(done)
     family = family.toDF("id", "f")
     family = family.unionByName(family.select(F.col("f").alias("id"), "f").distinct())
     # ids of families grow with the corpus, so they meet the texts in a sort-merge join at every size
@@ -302,6 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     more = _apart(family, labels.toDF("id", "c"), texts, num, den, k)
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
+    drop(texts)
 
     named = classes.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").filter("copies > 1 or c is not null").select("k1", "k2", "n", F.coalesce("c", "rep").alias("c"))
     out = sig.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm.components import components
-from tesserae.llm.store import materialize, table
+from tesserae.llm.store import drop, materialize, table
 
 #: Fewest and most pivots, vectors of a list, sampled rows a pivot, and the cosine from which a row is too close to another pivot.
 PIVOTS, LIST, SAMPLED, APART = (256, 8192), 128, 2, 0.8
@@ -160,6 +160,7 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE, pivots: tupl
     dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     found = materialize(dealt.select("label", "dim", "pivot", "i", "j", "rep", "mult", "v", "perm", "block").groupBy("label", "dim", "pivot", "i", "j").applyInArrow(_compare(cosine, shared, kind), "v long, c long, n long"))
+    drop(described)
     links = found.groupBy(F.col("v").alias("rep")).agg(F.sum("n").alias("n"))
     labels = components(found.filter("c < v").select(F.col("c").alias("a"), F.col("v").alias("b")))
     named = classes.join(links, "rep", "left").join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left")
