@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def zigzag(n: Column) -> Column:
@@ -45,16 +41,23 @@ def varint_value(data: bytes, at: int = 0) -> tuple[int, int]:
             return value, at
 
 
-@F.pandas_udf(T.BinaryType())
-def varint(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in numbers:
-        yield batch.map(lambda n: None if pd.isna(n) else varint_bytes(int(n)))
+def varint(n: Column | str) -> Column:
+    """Bytes of the 7-bit groups of an unsigned 64-bit integer, lowest first; all but the last have the high bit."""
+    n = (F.col(n) if isinstance(n, str) else n).cast("long")
+    size = varint_length(n)
+    part = lambda i: F.shiftrightunsigned(n, 7 * i).bitwiseAND(F.lit(127).cast("long"))
+    pairs = [F.when(size > i, F.lpad(F.hex(part(i) + F.when(size > i + 1, 128).otherwise(0)), 2, "0")).otherwise("") for i in range(10)]
+    return F.when(n.isNotNull(), F.unhex(F.concat(*pairs)))
 
 
-@F.pandas_udf(T.LongType())
-def varint_decode(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in data:
-        yield batch.map(lambda b: None if b is None else varint_value(b)[0]).astype("Int64")
+def varint_decode(data: Column | str) -> Column:
+    """The integer of a varint's bytes."""
+    data = F.col(data) if isinstance(data, str) else data
+    byte = lambda i: F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long")
+    total = F.lit(0).cast("long")
+    for i in range(10):
+        total = total.bitwiseOR(F.when(F.octet_length(data) > i, F.shiftleft(byte(i).bitwiseAND(F.lit(127).cast("long")), 7 * i)).otherwise(F.lit(0).cast("long")))
+    return F.when(data.isNotNull(), total)
 
 
 #: Thrift compact type codes.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,13 @@ def circular_slice(values: Column, offset: Column, count: Column) -> Column:
     """``count`` elements from ``offset`` on, going round; empty for an empty array."""
     take = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.element_at(values, (F.pmod(offset + i, F.size(values)) + 1).cast("int")))
     return F.when((F.size(values) > 0) & (count > 0), take).otherwise(F.slice(values, 1, 0))
+
+
+def standardize(x: Column, mean: float, deviation: float) -> Column:
+    """(x - mean) / deviation."""
+    return (x - mean) / deviation
+
+
+def flattened(rows: DataFrame, row: str, vector: str, width: int) -> DataFrame:
+    """(at, value): the components of all vectors in row-major order; ``row`` numbers vectors from 0."""
+    return rows.select(row, F.posexplode(vector).alias("i", "value")).select((F.col(row) * width + F.col("i")).alias("at"), "value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = {"train": "train", "test": "valid"}
@@ -72,3 +72,9 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 def nested_qrels(qrels: DataFrame) -> DataFrame:
     """(qid, judged: map pid -> rel)."""
     return qrels.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pid", "rel")))).alias("judged"))
+
+
+def first_keys(rows: DataFrame, key: str, order: str, count: int) -> DataFrame:
+    """(key, at) of the first ``count`` different keys in the order they appear; ``at`` numbers them by their names as strings."""
+    first = rows.groupBy(F.col(key).cast("string").alias(key)).agg(F.min(order).alias("_first")).orderBy("_first", key).limit(count)
+    return first.select(key, F.row_number().over(Window.orderBy(key)).cast("long").alias("at"))  # ``count`` rows

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,17 +15,20 @@ WIDTH = 1024
 
 
 def hash_embedder(width: int = WIDTH) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic stand-in for a model: unit vectors of signed word hashes."""
+    """A deterministic stand-in for a model: unit vectors of signed word hashes, each different word of a batch hashed once.
+
+    Words are runs without ASCII white space; the first 32 bits of a word's MD5 give its place, the highest its sign.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
-        import zlib
+        import hashlib
 
-        out = np.zeros((len(texts), width), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in text.split():
-                h = zlib.crc32(word.encode())
-                row[h % width] += 1 if h >> 31 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        words = [t.encode().split() for t in texts]
+        place = {w: int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:4], "big") for w in {w for each in words for w in each}}
+        h = np.array([place[w] for each in words for w in each], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(each) for each in words])
+        out = np.bincount(row * width + h % width, np.where(h >> 31, 1.0, -1.0), len(texts) * width).reshape(len(texts), width)
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     return embed
 
@@ -41,15 +44,15 @@ def embed_column(df: DataFrame, text_col: str, embedder: Callable[[list[str]], n
         raise ValueError(f"there is a column {out} already")
     fn = embedder or hash_embedder(width)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with ThreadPoolExecutor(concurrency) as pool:
             for texts in batches:
-                values = texts.fillna("").tolist()
+                values = texts.fill_null("").to_pylist()
                 parts = list(pool.map(fn, [values[i : i + batch_size] for i in range(0, len(values), batch_size)]))
-                rows = [np.asarray(r, np.float32) for part in parts for r in part]
-                if any(len(r) != width for r in rows):
+                if any(len(r) != width for part in parts for r in part):
                     raise ValueError(f"the embedder's vectors aren't {width} wide")
-                yield pd.Series(rows)
+                flat = np.concatenate([np.asarray(part, np.float32).ravel() for part in parts]) if parts else np.zeros(0, np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * width, pa.int32()), pa.array(flat))
 
     return df.withColumn(out, run(F.col(text_col)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +151,7 @@ def nested_qrels(spark, d):
 @query("""WITH a AS (SELECT vec_id, label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS p FROM embeddings)
 SELECT count(*) AS n, count(*) FILTER (p = label) AS correct, round(100.0 * count(*) FILTER (p = label) / count(*), 4) AS accuracy FROM a""")
 def argmax_accuracy(spark, d):
+    """The first ten components stand for the logits of the ten labels."""
     rows = _t(spark, d, "embeddings").select("label", vectors.argmax(F.slice("embedding", 1, 10)).alias("predicted"))
     return evaluation.accuracy(rows, "predicted", "label")
 
@@ -184,11 +182,12 @@ def triplets_join(spark, d):
     return conversion.triplets(qrels, q, _t(spark, d, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("passage")))
 
 
-@query("""WITH p AS (SELECT vec_id AS qid, (vec_id * 7 + 1) % 500 AS pid FROM embeddings), g AS (SELECT qid, pid, CAST(unnest(range(1, 9)) AS INTEGER) AS draw FROM p)
-SELECT g.qid, (g.qid * 31 + g.pid * 3 + draw * 17) % 500 AS pid, draw FROM g LEFT JOIN p ON p.qid = g.qid AND p.pid = (g.qid * 31 + g.pid * 3 + draw * 17) % 500 WHERE p.qid IS NULL""")
+@query("""WITH p AS (SELECT vec_id AS qid, (vec_id * 7 + 1) % n AS pid, n FROM embeddings, (SELECT count(*) AS n FROM embeddings)), g AS (SELECT qid, pid, n, CAST(unnest(range(1, 9)) AS INTEGER) AS draw FROM p)
+SELECT g.qid, (g.qid * 31 + g.pid * 3 + draw * 17) % g.n AS pid, draw FROM g LEFT JOIN p ON p.qid = g.qid AND p.pid = (g.qid * 31 + g.pid * 3 + draw * 17) % g.n WHERE p.qid IS NULL""")
 def negatives_anti(spark, d):
-    positives = _t(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.pmod(F.col("vec_id") * 7 + 1, F.lit(500)).alias("pid"))
-    return conversion.negatives(positives, 500, 8, F.col("qid") * 31 + F.col("pid") * 3 + F.col("draw") * 17)
+    n = _t(spark, d, "embeddings").count()
+    positives = _t(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.pmod(F.col("vec_id") * 7 + 1, F.lit(n)).alias("pid"))
+    return conversion.negatives(positives, n, 8, F.col("qid") * 31 + F.col("pid") * 3 + F.col("draw") * 17)
 
 
 @query("""SELECT l_partkey AS image_id, l_linenumber - 1 AS class, round((l_discount * 100 + l_quantity / 2) / (p_size + 100), 6) AS cx, round((l_tax * 100 + CAST(l_linenumber AS DOUBLE) / 2) / p_retailprice, 6) AS cy,
@@ -366,31 +365,37 @@ def first_rows(spark, d):
 # --- no SQL form -----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM documents), h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w),
+c AS (SELECT doc_id, h % 1024 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2)
+SELECT d.doc_id, 1024 AS width, CASE WHEN count(*) FILTER (c <> 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, count(*) FILTER (c > 0) AS positive, count(*) FILTER (c < 0) AS negative FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def embed_column(spark, d):
-    return embedding.embed_column(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("width"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), "embedding")
+    rows = embedding.embed_column(_t(spark, d, "documents").select("doc_id", "text"), "text")
+    count = lambda test: F.size(F.filter("embedding", test)).cast("long")
+    return rows.select("doc_id", F.size("embedding").alias("width"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), count(lambda x: x > 0).alias("positive"), count(lambda x: x < 0).alias("negative"))
 
 
-def _files(d: str, name: str) -> list[str]:
-    path = f"{d}/{name}.parquet"
-    return sorted(glob.glob(f"{path}/*.parquet")) if os.path.isdir(path) else [path]
+def _files(spark, d: str, name: str) -> list[str]:
+    return sorted(r["path"] for r in readers.file_sizes(spark, f"{d}/{name}.parquet").select("path").toLocalIterator() if r["path"].endswith(".parquet"))
 
 
 @query("SELECT row_group_id AS row_group, column_id AS \"column\", path_in_schema AS path, \"type\" AS physical_type, num_values, total_compressed_size AS compressed_bytes, total_uncompressed_size AS uncompressed_bytes FROM parquet_metadata('/root/testdata/sf0.01/customer.parquet')")
 def parquet_column_chunks(spark, d):
-    return parquet_meta.parquet_meta(spark, _files(d, "customer"), "column_chunk").select("row_group", "column", "path", "physical_type", "num_values", "compressed_bytes", "uncompressed_bytes")
+    return parquet_meta.parquet_meta(spark, _files(spark, d, "customer"), "column_chunk").select("row_group", "column", "path", "physical_type", "num_values", "compressed_bytes", "uncompressed_bytes")
 
 
-@query()
+@query("SELECT created_by, num_rows, num_row_groups AS row_groups FROM parquet_file_metadata('/root/testdata/sf0.01/lineitem.parquet')")
 def parquet_files(spark, d):
-    return parquet_meta.parquet_meta(spark, _files(d, "lineitem"), "file")
+    return parquet_meta.parquet_meta(spark, _files(spark, d, "lineitem"), "file").select("created_by", "num_rows", "row_groups")
 
 
 @query()
 def parquet_pages(spark, d):
-    return parquet_meta.parquet_meta(spark, _files(d, "lineitem"), "page")
+    return parquet_meta.parquet_meta(spark, _files(spark, d, "lineitem"), "page")
 
 
-@query()
+@query("SELECT name, CASE \"type\" WHEN 'INT64' THEN 'int64' WHEN 'BYTE_ARRAY' THEN 'string' END AS type, repetition_type = 'OPTIONAL' AS nullable FROM parquet_schema('/root/testdata/sf0.01/documents.parquet') WHERE num_children IS NULL")
 def parquet_arrow_schema(spark, d):
-    return parquet_meta.parquet_meta(spark, _files(d, "documents"), "arrow_schema")
+    return parquet_meta.parquet_meta(spark, _files(spark, d, "documents"), "arrow_schema").select("name", F.regexp_replace("type", "^large_", "").alias("type"), "nullable")
+
+
+from tesserae.plans import exchange  # noqa: E402, F401  (registers its queries)

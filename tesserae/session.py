@@ -24,10 +24,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="tesserae-"))
     return _fallback[0]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tesserae.functions.bits import read_struct
+from tesserae.sources.sinks import file_system
 
 SCHEMAS = {
     "file": "file string, version string, num_rows bigint, created_by string, row_groups bigint, columns bigint, footer_bytes bigint, schema string, key_values map<string,string>",
@@ -25,9 +26,15 @@ _KINDS = {0: "data", 1: "index", 2: "dictionary", 3: "data_v2"}
 _HEADERS = {0: (5, 2), 2: (7, 2), 3: (8, 4)}
 
 
+def opened(path: str):
+    """A file of any store that ``file_system`` knows, open for reading."""
+    store, at = file_system(path)
+    return store.open_input_file(at)
+
+
 def footer(path: str) -> tuple[int, bytes]:
     """Length and bytes of a footer; bad magic or length is an error."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(0, 2)
         size = f.tell()
         if size < 12:
@@ -57,7 +64,7 @@ def arrow_schema(encoded: str):
 def pages(path: str):
     """Page header rows of every column chunk, dictionary page first; a header that can't be read ends its chunk with an error row."""
     meta, _ = read_struct(footer(path)[1])
-    with open(path, "rb") as f:
+    with opened(path) as f:
         for g, group in enumerate(meta.get(4, [])):
             for c, chunk in enumerate(group[1]):
                 info = chunk.get(3)
@@ -92,7 +99,8 @@ class _Reader(DataSourceReader):
 
         path = partition.value
         length, _ = footer(path)
-        meta = pq.read_metadata(path)
+        with opened(path) as f:
+            meta = pq.read_metadata(f)
         if self.mode == "file":
             kv = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in (meta.metadata or {}).items()}
             schema = json.dumps([{"name": c.path, "physical": c.physical_type, "logical": str(c.logical_type)} for c in (meta.schema.column(i) for i in range(meta.num_columns))])

@@ -38,12 +38,12 @@ def splits(spark: SparkSession, schema: str, **paths: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of the non-empty lines of text files, in file and line order.
+    """(line_no, value) of the non-empty lines of text files; ``line_no`` sorts by file and line.
 
-    Files of this family are small tables of ids; each is read whole by one task, so that the order is its own.
+    Large files are read in splits: a line's place is its file, where its split starts and its order within the split.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return raw.filter(F.trim("value") != "").select(F.struct("file", "at").alias("line_no"), "value")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(at.alias("line_no"), "value").filter(F.trim("value") != "")
 
 
 def _fields(spark: SparkSession, path: str, count: int) -> DataFrame:

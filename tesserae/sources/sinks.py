@@ -6,6 +6,8 @@ import json
 import math
 import time
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_metrics(values: dict, path: str) -> None:
     """One small record as indented JSON, characters as they are."""
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(values, out, ensure_ascii=False, indent=4)
+    store, at = file_system(path)
+    with store.open_output_stream(at) as out:
+        out.write(json.dumps(values, ensure_ascii=False, indent=4).encode())
 
 
 def renumbered(run: DataFrame, digits: int = 3) -> DataFrame:
@@ -53,10 +56,36 @@ def write_run(run: DataFrame, path: str, digits: int = 4, renumber: bool = False
     out.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_boxes(boxes: DataFrame, path: str) -> None:
-    """A text file per label file and split, one line per box, from (split, label_file, line)."""
+def write_boxes(boxes: DataFrame, path: str) -> int:
+    """<path>/<split>/<label_file> of (split, label_file, line), one line per box in order; returns how many files.
+
+    Tasks write files of their own through the file system of ``path`` (a scheme or else a folder all machines share). A
+    repeated task writes the same files again.
+    """
     lines = boxes.groupBy("split", "label_file").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("value"))
-    lines.write.mode("overwrite").partitionBy("split", "label_file").text(path)
+
+    def run(batches):
+        made: set[str] = set()
+        for batch in batches:
+            for split, name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = file_system(f"{path}/{split}/{name}")
+                folder = at.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(at) as out:
+                    out.write(f"{value}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["files"])
+
+    return lines.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; s3a is s3, no scheme is this machine's."""
+    scheme, _, rest = path.rpartition(":/")
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme else path
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def preview(df: DataFrame, column: str, first: int = 5) -> str:

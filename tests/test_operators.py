@@ -109,3 +109,27 @@ def test_wins_and_upsert(spark):
     assert first.v == "a" and first.repeats == 1
     up = spark.createDataFrame([("q", 0, "x"), ("q", 1, "y"), ("r", 0, "z")], "qid string, worker int, pid string")
     assert {r.pid for r in retrieval.upsert_by_key(up, "qid", "worker").collect()} == {"y", "z"}
+
+
+def test_topk_close_scores_and_equal_vectors(spark, monkeypatch):
+    """Scores that differ behind the last place kept, many equal vectors, several blocks of queries and runs of passages."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.choice([0.12345641, 0.12345649, 0.5, -0.12345649], 2)]) for i in rng.permutation(400)]
+    passages = spark.createDataFrame([(int(i), v) for i, v in rows], "pid bigint, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "qid bigint, vector array<double>")
+    want = retrieval.dense_topk(queries, passages, 7, strategy="expressions").orderBy("qid", "rank").select("qid", "pid", "score", "rank").collect()
+    for parts, block, run_rows in ((1, 8192, 1 << 18), (3, 2, 50), (5, 1, 1)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "PASSAGE_RUN", run_rows)
+        assert retrieval.dense_topk(queries, passages.repartition(parts), 7).orderBy("qid", "rank").select("qid", "pid", "score", "rank").collect() == want
+    with pytest.raises(ValueError, match="use blocks"):
+        retrieval.dense_topk(queries, passages, 7, strategy="expressions")
+    score, pid = retrieval.best_of(np.ones((2, 9)), np.array([rng.permutation(9) for _ in range(2)]), 4)
+    assert score.shape == (2, 4) and (np.sort(pid, axis=1) == np.arange(4)).all()
+
+
+def test_short_shards_are_an_error(spark):
+    runs = spark.createDataFrame([("q", i, float(i), i % 2) for i in range(5)], "qid string, pid int, score double, shard int")
+    assert [r.pid for r in retrieval.merge_shards(runs, 2, "shard").orderBy("rank").collect()] == [4, 3]
+    with pytest.raises(Exception, match="fewer than 3 rows of a query in shard 1"):
+        retrieval.merge_shards(runs, 3, "shard").collect()
