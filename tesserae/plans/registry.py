@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import bits, geometry, text, vectors
 from tesserae.operators import contrastive, conversion, embedding, evaluation, retrieval, sampling
+from tesserae.operators.tables import spread_small
 from tesserae.session import ship
 from tesserae.sources import parquet_meta, readers, sinks
 
@@ -369,7 +370,8 @@ def first_rows(spark, d):
 c AS (SELECT doc_id, h % 1024 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS c FROM h GROUP BY 1, 2)
 SELECT d.doc_id, 1024 AS width, CASE WHEN count(*) FILTER (c <> 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, count(*) FILTER (c > 0) AS positive, count(*) FILTER (c < 0) AS negative FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def embed_column(spark, d):
-    rows = embedding.embed_column(_t(spark, d, "documents").select("doc_id", "text"), "text")
+    size = readers.file_sizes(spark, f"{d}/documents.parquet").agg(F.sum("bytes")).first()[0]
+    rows = embedding.embed_column(spread_small(_t(spark, d, "documents").select("doc_id", "text"), size), "text")
     count = lambda test: F.size(F.filter("embedding", test)).cast("long")
     return rows.select("doc_id", F.size("embedding").alias("width"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), count(lambda x: x > 0).alias("positive"), count(lambda x: x < 0).alias("negative"))
 
