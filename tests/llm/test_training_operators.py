@@ -3,6 +3,7 @@
 import importlib
 import os
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tesserae.llm import decontaminate, html, lm, minhash, mixing, pii, pivots, quality, registry, secrets, urls
+from tesserae.llm import decontaminate, html, lm, minhash, mixing, pii, pivots, quality, registry, secrets, store, urls
 from tesserae.llm import kernels as K
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -334,6 +335,77 @@ def test_pipeline(spark, small):
         stage(spark, odd_documents(spark), small).count()
 
 
+def test_stages_on_odd_and_empty_tables(spark, small):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+            got = stage(spark, docs, small)
+            assert set(got.columns) == set(docs.columns) | ({"copy"} if name == "mix" else set())
+            n = got.count()
+            assert n <= 3 * 10 and (n == 0 or docs.count())
+
+
+def test_stages_by_brute_force(spark, small, duck):
+    """Every stage's rows from what the one before kept, computed again document by document."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    labels, items = (spark.read.parquet(f"{small}/{t}.parquet").toPandas() for t in ("labels", "benchmark"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = docs.toPandas().set_index("doc_id")
+
+    model = quality.fit(docs, quality.ratings(spark.read.parquet(f"{small}/labels.parquet")))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    docs = store.materialize(stages["quality"](spark, docs, small))
+    odds = {i: sum(weight.get(h, 0.0) for h in {h for part, _, _ in quality.features(pa.array([t])) for h in part.tolist()}) - model.cuts[quality.KEEP_GRADE - 1] for i, t in before.text.items()}
+    now = docs.toPandas().set_index("doc_id")
+    assert set(now.index) == {i for i, z in odds.items() if 1 / (1 + np.exp(-z)) >= quality.KEEP_TAIL} and 0 < len(now) < len(before)
+    good = labels.set_index("doc_id")
+    good = good.assign(fine=(good.quality == 1) & (good.toxic == 0))
+    assert np.mean([(i in now.index) == good.fine[i] for i in good.index if i in before.index]) > 0.9
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    component = _components_of({i: shingles(words(t)) for i, t in now.text.items()})
+    docs = store.materialize(stages["near_dedup"](spark, docs, small))
+    want = {i for i, c in component.items() if c == i}
+    now = docs.toPandas().set_index("doc_id")
+    assert set(now.index) == want
+
+    runs = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in map(runs, items.text) if w for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i : i + k]) in windows for k in sizes for i in range(len(w) - k + 1))
+    docs = store.materialize(stages["decontamination"](spark, docs, small))
+    want = {i for i, t in now.text.items() if not hit(runs(t))}
+    assert set(docs.toPandas().doc_id) == want and len(want) < len(now)
+    now = docs.toPandas().set_index("doc_id")
+
+    docs = store.materialize(stages["pii"](spark, docs, small))
+    after = docs.toPandas().set_index("doc_id")
+    moved = {(r["kind"], r["value"]): r["attempt"] for r in pii.moved_entities(spark.createDataFrame([(t,) for t in now.text], "text string")).collect()}
+    for i, t in now.text.items():
+        text = pii.rewrite(t, moved=moved)[0]
+        assert after.text[i] == text and after.n_chars[i] == len(text)
+        for s, e, kind in pii.detect(t):
+            assert kind == "name" or t[s:e] not in text
+
+    mixed = stages["mix"](spark, docs, small).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    copies = con.sql(mixing.ORACLE_SQL).df().set_index("doc_id").copies
+    assert mixed.groupby("doc_id").size().to_dict() == copies[copies > 0].to_dict()
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with store.scratch(spark) as keep:
+        a = store.materialize(spark.range(3))
+        b = keep(a.filter("id > 0"))
+        left = a.inputFiles()[0].removeprefix("file://")
+    assert b.count() == 2 and not os.path.exists(left) and store._made == []
+
+
 def _components_of(sets, num=80, den=100):
     """Brute force: smallest id reachable, by counts of all pairs through a dense matrix of shared shingles."""
     ids = sorted(sets)
