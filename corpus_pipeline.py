@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, minhash, mixing, pii, quality
-from tesserae.llm.store import materialize, table
+from tesserae.llm.store import drop, materialize, scratch, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table; a stage's own tables go when its result is written, and that when the next one is."""
+    source = docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            done = keep(stage(spark, docs, sf_dir))
+        if docs is not source:
+            drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
