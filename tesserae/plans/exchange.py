@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import bits, vectors
 from tesserae.operators import contrastive, conversion
-from tesserae.plans.registry import _batches, _t, query
+from tesserae.plans.registry import _batches, _files, _t, query
 from tesserae.session import shared_dir
-from tesserae.sources import readers, sinks
+from tesserae.sources import parquet_values, readers, sinks
 
 
 def _place(spark, ending: str) -> str:
@@ -147,3 +147,8 @@ def summed_over_ranks(spark, d):
 def decoded_and_formatted(spark, d):
     part = _t(spark, d, "part")
     return part.select("p_partkey", F.decode(F.unbase64(F.base64(F.encode("p_name", "UTF-8"))), "UTF-8").alias("decoded"), F.format_string("%.3f", "p_retailprice").alias("price"), F.format_number(F.col("p_partkey") * 1000, 0).alias("grouped"))
+
+
+@query("SELECT file_row_number AS row, l_orderkey AS value FROM read_parquet('/root/testdata/sf0.01/lineitem.parquet', file_row_number = true)")
+def decoded_pages(spark, d):
+    return parquet_values.int64_values(spark, _files(spark, d, "lineitem"), "l_orderkey").select("row", "value")

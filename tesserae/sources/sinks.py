@@ -88,6 +88,17 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
+def remove(path: str) -> bool:
+    """Deletes a file, or a folder with all in it, such as the runs of single workers once they are merged; whether it was there."""
+    store, at = file_system(path)
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.Directory:
+        store.delete_dir(at)
+    elif info.type == fs.FileType.File:
+        store.delete_file(at)
+    return info.type != fs.FileType.NotFound
+
+
 def preview(df: DataFrame, column: str, first: int = 5) -> str:
     """The first values and how many more there are."""
     values, total = [r[0] for r in df.select(column).limit(first).collect()], df.count()
@@ -100,6 +111,7 @@ class StageTimer:
     def __init__(self):
         self.seconds: dict[str, float] = {}
         self.observation = Observation()
+        self.first: float | None = None
 
     def observed(self, df: DataFrame, text_col: str) -> DataFrame:
         return df.observe(self.observation, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_col)).alias("bytes"))
@@ -110,8 +122,16 @@ class StageTimer:
         self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
         return out
 
+    def first_batch(self, df: DataFrame) -> float:
+        """Seconds until the first row of ``df`` is there; only the partitions that it takes are computed."""
+        began = time.perf_counter()
+        df.limit(1).collect()
+        self.first = time.perf_counter() - began
+        return self.first
+
     def report(self) -> dict:
         got, total = self.observation.get, sum(self.seconds.values())
         floor = max(total, 1e-9)
         stages = {k: {"seconds": round(v, 3), "percent": round(100 * v / floor, 1)} for k, v in self.seconds.items()}
-        return {"rows": got["rows"], "rows_per_s": got["rows"] / floor, "mib_per_s": (got["bytes"] or 0) / 1048576 / floor, "stages": stages}
+        first = {"first_batch_s": round(self.first, 3)} if self.first is not None else {}
+        return first | {"rows": got["rows"], "rows_per_s": got["rows"] / floor, "mib_per_s": (got["bytes"] or 0) / 1048576 / floor, "stages": stages}

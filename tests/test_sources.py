@@ -3,13 +3,14 @@
 import gzip
 import json
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import conversion
-from tesserae.sources import parquet_meta, readers, sinks, synthetic
+from tesserae.sources import parquet_meta, parquet_values, readers, sinks, synthetic
 
 
 def write(path, value):
@@ -116,3 +117,39 @@ def test_synthetic(spark):
     assert abs(big.m) < 0.05 and abs(big.s - 1) < 0.05
     assert synthetic.user_table(spark, 3).filter("user_id >= 0 and user_id < 4294967296").count() == 3
     assert synthetic.user_records(spark).count() == 2 and synthetic.toy_table(spark).count() == 5
+
+
+def test_page_values(spark, tmp_path):
+    """Every encoding, codec and page version against what was written, nulls, long runs and packed groups among it."""
+    rng = np.random.default_rng(1)
+    values = {
+        "few": [int(x) if x else None for x in rng.integers(0, 9, 5000)],
+        "many": [int(x) for x in rng.integers(-(2**62), 2**62, 5000)],
+        "runs": [7] * 3000 + [None] * 1000 + [8, 9] * 500,
+        "nulls": [None] * 5000,
+    }
+    kind = pa.schema([pa.field(n, pa.int64(), nullable=n != "many") for n in values])
+    for i, (codec, version, dictionary) in enumerate([("none", "1.0", True), ("snappy", "2.0", True), ("zstd", "1.0", False), ("gzip", "2.0", False)]):
+        path = str(tmp_path / f"{i}.parquet")
+        pq.write_table(pa.table(values, schema=kind), path, compression=codec, data_page_version=version, use_dictionary=dictionary, row_group_size=2000, data_page_size=1024)
+        for name, want in values.items():
+            got = parquet_values.int64_values(spark, [path], name).orderBy("row").collect()
+            assert [r.value for r in got] == want and {r.row_group for r in got} == {0, 1, 2}
+    assert parquet_values.looked_up(np.array([5, 6]), np.array([1, 2, 0])).tolist() == [6, 0, 5]
+    assert parquet_values.unpacked(bytes([0b10001000, 0b11000110, 0b11111010]), 3).tolist() == list(range(8))
+    assert parquet_values.hybrid(bytes([8, 3, 3, 0b10001000, 0b11000110, 0b11111010]), 0, 3, 9).tolist() == [3, 3, 3, 3, 0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="no column"):
+        parquet_values.optional([{4: b"schema"}], "x")
+    with pytest.raises(ValueError, match="codec 3"):
+        parquet_values.decompressed(b"", 3, 0)
+
+
+def test_first_batch_and_removal(spark, tmp_path):
+    timer = sinks.StageTimer()
+    df = timer.observed(spark.range(10).selectExpr("cast(id as string) as t"), "t")
+    assert timer.first_batch(spark.range(1000)) > 0
+    timer.run("write", lambda: df.write.parquet(str(tmp_path / "w0")))
+    assert timer.report()["first_batch_s"] >= 0 and timer.report()["rows"] == 10
+    assert sinks.remove(str(tmp_path / "w0")) and not (tmp_path / "w0").exists()
+    (tmp_path / "f").write_text("x")
+    assert sinks.remove(f"file://{tmp_path}/f") and not sinks.remove(str(tmp_path / "f"))
