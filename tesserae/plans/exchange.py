@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import bits, vectors
-from tesserae.operators import contrastive, conversion
+from tesserae.functions import bits, text, vectors
+from tesserae.operators import contrastive, conversion, sampling
 from tesserae.plans.registry import _batches, _files, _t, query
 from tesserae.session import shared_dir
-from tesserae.sources import parquet_values, readers, sinks
+from tesserae.sources import parquet_meta, parquet_values, readers, sinks, synthetic
 
 
 def _place(spark, ending: str) -> str:
@@ -152,3 +152,84 @@ def decoded_and_formatted(spark, d):
 @query("SELECT file_row_number AS row, l_orderkey AS value FROM read_parquet('/root/testdata/sf0.01/lineitem.parquet', file_row_number = true)")
 def decoded_pages(spark, d):
     return parquet_values.int64_values(spark, _files(spark, d, "lineitem"), "l_orderkey").select("row", "value")
+
+
+@query("SELECT doc_id, source AS bucket, 'texts/' || doc_id || '.json' AS key FROM documents WHERE source IS NOT NULL")
+def object_addresses(spark, d):
+    docs = _t(spark, d, "documents").filter("source is not null").select("doc_id", F.concat(F.lit("s3://"), "source", F.lit("//texts/"), "doc_id", F.lit(".json")).alias("uri"))
+    bucket, key = text.bucket_and_key(F.col("uri"))
+    return docs.select("doc_id", bucket.alias("bucket"), key.alias("key"))
+
+
+@query("SELECT page_id, CAST(page_id % 8 AS INTEGER) AS worker, CAST(page_id // 8 AS INTEGER) AS shard FROM pages")
+def shard_names(spark, d):
+    n = F.col("page_id")
+    path = F.concat(F.lit("/data/a_b/shard_"), (n % 8).cast("string"), F.lit("_"), F.floor(n / 8).cast("string"), F.lit(".parquet"))
+    worker, shard = text.shard_numbers(path)
+    return _t(spark, d, "pages").select("page_id", worker.alias("worker"), shard.alias("shard"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT vec_id, round((e[1] + e[5] + e[9]) / 3, 6) AS pooled, round(e[1], 6) AS first FROM v""")
+def pooled_tokens(spark, d):
+    """Three runs of four components stand for a text's token vectors."""
+    tokens = F.array(*[F.slice("embedding", i, 4) for i in (1, 5, 9)])
+    return _t(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.mean_pool(tokens), F.lit(0)), 6).alias("pooled"), F.round(F.get(vectors.first_token(tokens), F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("SELECT part, codec, n AS num_values, CAST(ceil(n / 100.0) AS BIGINT) AS groups FROM (SELECT count(*) AS n FROM labels), (VALUES ('a', 'ZSTD'), ('b', 'UNCOMPRESSED')) AS t(part, codec)")
+def written_row_groups(spark, d):
+    """Row groups of a set number of rows, with the default codec and with none, as the files' footers tell."""
+    rows, out = _t(spark, d, "labels").select("doc_id"), None
+    for part, codec in (("a", "zstd"), ("b", "none")):
+        path = _place(spark, ".parquet")
+        sinks.write_parquet(rows.coalesce(1), path, codec=codec, group_rows=sinks.row_group_rows(rows.count(), size=100))
+        files = sorted(r["path"] for r in readers.file_sizes(spark, path).select("path").toLocalIterator() if r["path"].endswith(".parquet"))
+        told = parquet_meta.parquet_meta(spark, files, "column_chunk").agg(F.max("codec").alias("codec"), F.sum("num_values").alias("num_values"), F.countDistinct("file", "row_group").alias("groups"))
+        told = told.select(F.lit(part).alias("part"), "codec", "num_values", "groups")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("SELECT replace(n_name || '.png', '.png', '.txt') AS label_file, count(*) AS lines, CAST(sum(s_suppkey % 5) AS BIGINT) AS classes FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def written_boxes(spark, d):
+    boxes = _t(spark, d, "supplier").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat("n_name", F.lit(".png")).alias("file_name"), (F.col("s_suppkey") % 5).alias("class"), *[(F.col("s_suppkey") / 1e7 + i).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))]
+    )
+    sinks.write_boxes(conversion.box_lines(boxes, "test"), path := _place(spark, ""))
+    lines = spark.read.text(f"{path}/valid").select(F.col("_metadata.file_path").alias("at"), "value")
+    name = F.replace(F.element_at(F.split("at", "/"), -1), F.lit("%20"), F.lit(" "))
+    return lines.groupBy(name.alias("label_file")).agg(F.count("*").alias("lines"), F.sum(F.split("value", " ")[0].cast("long")).alias("classes"))
+
+
+@query("SELECT p_partkey, [p_size * 1.0, p_retailprice, -0.5, 0.0]::DOUBLE[] AS numbers FROM part")
+def parsed_presets(spark, d):
+    preset = F.concat_ws(", ", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.lit("-0.5"), F.lit("0"))
+    return _t(spark, d, "part").select("p_partkey", vectors.parse_preset(preset).alias("numbers"))
+
+
+@query("SELECT range AS id FROM range(5)")
+def toy_file(spark, d):
+    synthetic.toy_table(spark).write.parquet(path := _place(spark, ".parquet"))
+    return spark.read.parquet(path)
+
+
+@query("SELECT 200 AS n, 200 AS distinct_texts, 6 AS least_words, true AS bank_words, true AS unit_mean, true AS unit_spread")
+def synthetic_frame(spark, d):
+    """Properties of a synthetic frame: word counts, words of the bank, and vectors of mean 0 and spread 1."""
+    rows = synthetic.text_table(spark, 200, text_words=6, query_words=3, width=64, seed=7)
+    words = rows.select("text", F.split("text", " ").alias("w"), "embedding", F.lit(1).alias("one"))
+    bank = F.array(*[F.lit(w) for w in synthetic.BANK])
+    seen = words.agg(
+        F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"), F.min(F.size("w")).alias("least_words"), F.min(F.forall("w", lambda x: F.array_contains(bank, x))).alias("bank_words"),
+        F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("m"), F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("q"),
+    )
+    return seen.select("n", "distinct_texts", "least_words", "bank_words", (F.abs(F.col("m") / 64) < 0.05).alias("unit_mean"), (F.abs(F.col("q") / 64 - 1) < 0.05).alias("unit_spread"))
+
+
+@query("SELECT doc_id, ['a', 'b', 'c'][doc_id * 7 % 3 + 1] AS positive, 4 AS negatives, 4 AS different FROM labels")
+def drawn_examples(spark, d):
+    """One positive, and four different negatives of nine, drawn by a row's number."""
+    several = F.array(*[F.lit(i) for i in range(9)])
+    rows = _t(spark, d, "labels").select("doc_id", sampling.one_positive(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("doc_id") * 7).alias("positive"), sampling.some_negatives(several, 4, F.col("doc_id")).alias("n"))
+    return rows.select("doc_id", "positive", F.size("n").alias("negatives"), F.size(F.array_distinct("n")).alias("different"))
