@@ -96,7 +96,9 @@ def dense_topk(spark, d):
 
 @query(f"WITH {_RUN} SELECT qid, pid, rank, score FROM run WHERE rank <= 10")
 def dense_topk_expressions(spark, d):
-    return retrieval.dense_topk(*_vectors(spark, d), 10, strategy="expressions").select("qid", "pid", "rank", "score")
+    q, passages = _vectors(spark, d)
+    size = readers.file_sizes(spark, f"{d}/embeddings.parquet").agg(F.sum("bytes")).first()[0]
+    return retrieval.dense_topk(q, spread_small(passages, size), 10, strategy="expressions").select("qid", "pid", "rank", "score")
 
 
 @query(f"WITH {_RUN} SELECT qid, pid, rank, score FROM run WHERE rank <= 10")

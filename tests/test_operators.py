@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions.vectors import dot
 from tesserae.operators import contrastive, conversion, embedding, evaluation, retrieval, sampling
 from tesserae.streaming.embed_stream import embed_stream
 
@@ -40,6 +41,45 @@ def test_topk_ties_and_partitions(spark):
     assert retrieval.dense_topk(queries.filter("false"), passages, 5).count() == 0
 
 
+def test_topk_by_a_join_sorts_few_pairs(spark):
+    """The rows of a full sort of all pairs, of which a bound leaves few to sort; widths that differ, null components, equal vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(3000)] + [(i, [0.5] * 6) for i in range(3000, 4000)]
+    rows += [(4000, [1.0] * 5), (4001, [1.0] * 7), (4002, [None] + [1.0] * 5), (4003, [1.0] * 5 + [None]), (4004, None), (4005, [9.0] * 6)]
+    passages = spark.createDataFrame(rows, "pid bigint, vector array<float>")
+    queries = passages.filter("pid in (1, 7, 3500)").withColumnRenamed("pid", "qid")
+
+    def by_sort(q):
+        pairs = q.crossJoin(passages.filter("vector is not null").withColumnRenamed("vector", "pv"))
+        return retrieval.top_k(pairs.select("qid", "pid", F.round(dot(F.col("vector"), F.col("pv")), 6).alias("score")), 9).orderBy("qid", "rank").collect()
+
+    odd = passages.filter("pid in (1, 4000, 4001, 4003)").withColumnRenamed("pid", "qid")  # widths differ: the general product
+    broken = passages.filter("pid = 4003").withColumnRenamed("pid", "qid")  # every score is null: all pairs are sorted
+    for q in (queries, odd, broken):
+        got = retrieval.dense_topk(q, passages, 9, strategy="expressions")
+        assert got.orderBy("qid", "rank").collect() == by_sort(q)
+    pushed = retrieval.dense_topk(queries, passages, 9, strategy="expressions")
+    pushed.collect()
+    assert 0 < max(_joined_rows(pushed)) < 3 * 4006 / 4
+
+
+def _joined_rows(df):
+    """Rows that the nested loop joins of an executed plan put out."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "BroadcastNestedLoopJoinExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def test_conversion(spark):
     corpus = spark.createDataFrame([(i, f"t{i}", f"c{i}") for i in range(3)], "doc_idx bigint, title string, contents string")
     examples = spark.createDataFrame([("q", (["2", "5", "0"],), (["1"],)), ("none", ([],), (["9"],))], "query string, positives struct<doc_id:array<string>>, negatives struct<doc_id:array<string>>")
