@@ -1,6 +1,9 @@
 """Kernels, models and rewriting without Spark, against plain Python."""
 
+import os
 import re
+import subprocess
+import sys
 import time
 from pathlib import Path
 from types import SimpleNamespace
@@ -208,6 +211,28 @@ def test_attention_does_not_see_ahead():
     assert np.allclose(pa_[:40], pb[:40]) and not np.allclose(pa_[41:], pb[41:])
 
 
+def test_training_steps_keep_their_memory():
+    """A process of its own: what others allocated would decide how the C library takes this."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from types import SimpleNamespace
+from pathlib import Path
+from tesserae.llm import lm
+vocabulary = Path(lm.VOCABULARY).read_bytes()
+ranks = lm.Ranks(np.arange(lm.subwords(vocabulary).size)[::-1])
+state = SimpleNamespace(value=(vocabulary, ranks, lm._pack(lm.Attention(ranks))))
+texts = pa.RecordBatch.from_arrays([pa.array(['the cat sat on that ' * 4096])], names=['text'])
+faults = []
+for _ in range(3):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    list(lm._trainer(state, whole=False)(iter([texts] * 5)))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+print(faults[-1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": str(Path(lm.__file__).parents[2])}, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < 2000  # pages in 20 steps; 17,826 when freed memory went back
+
+
 def test_corpus_pass_trains_on_every_word_of_every_text():
     texts = ["one", "two words", "a b c " * 40, "", "the " * 100]
     ranks = lm.Ranks(np.arange(lm.subwords(Path(lm.VOCABULARY).read_bytes()).size)[::-1])
